@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import setjoin, splitting, topn
+from lodestar.llm import mixing, packing, setjoin, splitting, topn
 
 
 def queries() -> dict:
@@ -11,6 +11,10 @@ def queries() -> dict:
         "p1_pieces": splitting.p1_pieces,
         "p3_found": setjoin.p3_found,
         "p6_found": topn.p6_found,
+        "p7_containers": packing.p7_containers,
+        "p7_fill": packing.p7_fill,
+        "p8_mixture": mixing.p8_mixture,
+        "p8_shares": mixing.p8_shares,
     }
 
 
