@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, packing, setjoin, splitting, topn
+from lodestar.llm import mixing, packing, setjoin, spam, splitting, topn
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "p7_fill": packing.p7_fill,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,
+        "p9_found": spam.p9_found,
+        "p9_scores": spam.p9_scores,
     }
 
 
