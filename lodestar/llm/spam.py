@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,10 @@ def language(text: str, declared: str | None) -> str:
 
 
 def measure(text: str, lang: str) -> tuple[list[tuple], int]:
-    """([(characters, bytes, ratio, function words, sentence ends per word, links), ...], characters in table rows)."""
+    """([(characters, bytes, ratio, function words, sentence ends per word, links, phrases), ...], characters in table rows).
+
+    phrases: the share of the words that the four most frequent pairs of neighbours take.
+    """
     paras, aside = _paragraphs(text)
     funcs = FUNCTION_WORDS.get(lang) or FUNCTION_WORDS["en"] | FUNCTION_WORDS["es"]
     out = []
@@ -98,7 +102,9 @@ def measure(text: str, lang: str) -> tuple[list[tuple], int]:
             links = sum(len(m) for m in _LINK.findall(b))
             share = sum(w in funcs for w in ws) / len(ws) if ws else 0.0
             ends = len(_SENTENCE.findall(b)) / max(1, len(b.split()))
-            out.append((len(b), len(data), len(zlib.compress(data, 6)) / max(1, len(data)), share, ends, links / max(1, len(b))))
+            pairs = Counter((x, y) for x, y in zip(ws, ws[1:]) if x not in funcs or y not in funcs)
+            phrases = sum(2 * n for _, n in pairs.most_common(4) if n > 2) / max(len(ws), 1)
+            out.append((len(b), len(data), len(zlib.compress(data, 6)) / max(1, len(data)), share, ends, links / max(1, len(b)), min(phrases, 1.0)))
     return out, aside
 
 
@@ -115,15 +121,17 @@ def usual(n_bytes: int) -> float:
 def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) -> tuple[float, float, float]:
     """(share of the text in stuffed or listed blocks, mean deviation of the ratio, share in prose)."""
     total, bad, dev, weight = aside, 0.0, 0.0, 0.0
-    for chars, size, ratio, share, ends, links in blocks:
+    for chars, size, ratio, share, ends, links, phrases in blocks:
         total += chars
         mid, spread = norms.get((lang, length_class(size))) or (0.0, SPREAD)
         z = (math.log(max(ratio, 1e-6)) - usual(size) - mid) / spread
-        dev += max(z, -20.0) * chars
-        weight += chars
-        stuffed = size >= 200 and z <= -redundant and (ends < 0.035 or share < 0.2 or z <= -1.5 * redundant)
+        if size >= 400:
+            dev += max(z, -20.0) * chars
+            weight += chars
+        # redundancy confirmed by few sentence ends, few function words or a few phrases that take the block
+        stuffed = size >= 200 and (z <= -1.5 * redundant or z <= -redundant and (ends < 0.035 or share < 0.2) or z <= -redundant / 3 and phrases > 0.3)
         # half the usual rate of sentence ends, and hardly the words that sentences need
-        listed = (ends < 0.03 and share < 0.17) or (links > 0.3 and share < 0.25)
+        listed = (ends < 0.03 and share < 0.17) or (links > 0.3 and share < 0.25) or (chars >= 400 and ends < 0.006 and share < 0.33)
         if (chars >= LEAST and (stuffed or listed)) or (chars >= 40 and listed and ends == 0):
             bad += chars
     return bad / total if total else 0.0, dev / weight if weight else 0.0, 1 - bad / total if total else 1.0
@@ -138,13 +146,13 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     id_type = dict(docs.dtypes)[id_col]
-    block = "struct<chars:int,bytes:int,ratio:double,share:double,ends:double,links:double>"
+    block = "struct<chars:int,bytes:int,ratio:double,share:double,ends:double,links:double,phrases:double>"
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("ratio", pa.float64()), ("share", pa.float64()), ("ends", pa.float64()), ("links", pa.float64())]))
-        names = ("chars", "bytes", "ratio", "share", "ends", "links")
+        kind = pa.list_(pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("ratio", pa.float64()), ("share", pa.float64()), ("ends", pa.float64()), ("links", pa.float64()), ("phrases", pa.float64())]))
+        names = ("chars", "bytes", "ratio", "share", "ends", "links", "phrases")
         for b in batches:
             langs, aside, blocks = [], [], []
             for t, d in zip(b.column(1), b.column(2)):
