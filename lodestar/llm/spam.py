@@ -131,7 +131,7 @@ def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) ->
             dev += max(z, -20.0) * chars
             weight += chars
         # redundancy confirmed by few sentence ends, few function words or a few phrases that take the block
-        stuffed = (size >= 450 and z <= -1.5 * redundant) or (size >= 200 and (z <= -redundant and (ends < 0.035 or share < 0.2) or z <= -0.5 and phrases > 0.3 and share < 0.8 * USUAL_SHARE.get(lang, 0.4)))
+        stuffed = (size >= 450 and z <= -1.5 * redundant) or (size >= 200 and (z <= -redundant and (ends < 0.035 or share < 0.2) or phrases > 0.3 and share < 0.8 * USUAL_SHARE.get(lang, 0.4)))
         # half the usual rate of sentence ends, and hardly the words that sentences need
         listed = (ends < 0.03 and share < 0.17) or (links > 0.3 and share < 0.25) or (chars >= 400 and ends < 0.006 and share < 0.33)
         if (chars >= LEAST and (stuffed or listed)) or (chars >= 40 and listed and ends == 0):
