@@ -110,11 +110,6 @@ def measure(text: str, lang: str) -> tuple[list[tuple], int]:
     return out, aside
 
 
-def length_class(n_bytes: int) -> int:
-    """Doublings of length: wide classes, so that no kind of spam makes up half of one."""
-    return int(math.log2(max(n_bytes, 1)))
-
-
 def usual(n_bytes: int) -> float:
     """The log ratio usual for a length."""
     return math.log(min(BASE + SLOPE / max(n_bytes, 50), 1.2))
@@ -125,7 +120,7 @@ def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) ->
     total, bad, dev, weight = aside, 0.0, 0.0, 0.0
     for chars, size, ratio, share, ends, links, phrases in blocks:
         total += chars
-        mid, spread = norms.get((lang, length_class(size))) or (0.0, SPREAD)
+        mid, spread = norms.get(lang) or (0.0, SPREAD)
         z = (math.log(max(ratio, 1e-6)) - usual(size) - mid) / spread
         if size >= 450:
             dev += max(z, -20.0) * chars
@@ -142,9 +137,9 @@ def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) ->
 def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redundant: float = 4.0, least_chars: int = 200) -> DataFrame:
     """id, spam_share, deviation, is_spam of every document (repeated rows each for itself).
 
-    Null, blank and short texts (under least_chars) are never spam and have share 0. The norm of each language and
-    length class is the median and the upper half's spread of the log ratio, less the usual one of the length, over all blocks of the corpus
-    (spam sits in the lower half); a class of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: at most 3 x 32 rows.
+    Null, blank and short texts (under least_chars) are never spam and have share 0. A language's norm is
+    the median and the upper half's spread of the log ratio, less the usual one of the length, over all blocks of the
+    corpus (spam sits in the lower half); one of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: 3 rows.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     id_type = dict(docs.dtypes)[id_col]
@@ -170,9 +165,9 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(aside, pa.int32()), pa.array(blocks, kind)], names=["id", "lang", "aside", "blocks"])
 
     measured = src.mapInArrow(run, f"id {id_type}, lang string, aside int, blocks array<{block}>").persist()
-    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200").select("lang", F.floor(F.log2("b.bytes")).cast("int").alias("k"), (F.log("b.ratio") - F.log(BASE + SLOPE / F.col("b.bytes"))).alias("r"))
-    norm = flat.groupBy("lang", "k").agg(F.count("*").alias("n"), F.percentile_approx("r", [0.5, 0.75], 2000).alias("q")).filter(F.col("n") >= MIN_BLOCKS)
-    norms = {(r["lang"], r["k"]): (r["q"][0], min(max((r["q"][1] - r["q"][0]) / 0.6745, 0.03), 0.08)) for r in norm.collect()}
+    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200").select("lang", (F.log("b.ratio") - F.log(BASE + SLOPE / F.col("b.bytes"))).alias("r"))
+    norm = flat.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("r", [0.5, 0.75], 2000).alias("q")).filter(F.col("n") >= MIN_BLOCKS)
+    norms = {r["lang"]: (r["q"][0], min(max((r["q"][1] - r["q"][0]) / 0.6745, 0.03), 0.08)) for r in norm.collect()}
 
     def score(batches):
         import pyarrow as pa
