@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import mixing, packing, scan, setjoin, spam, splitting, topn
+from lodestar.llm import leakage, mixing, packing, scan, setjoin, spam, splitting, topn
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "p1_found": splitting.p1_found,
         "p1_pieces": splitting.p1_pieces,
         "p3_found": setjoin.p3_found,
+        "p4_found": leakage.p4_found,
+        "p4_leaks": leakage.p4_leaks,
         "p5_found": scan.p5_found,
         "p5_repaired": scan.p5_repaired,
         "p6_found": topn.p6_found,
