@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import leakage, mixing, packing, scan, setjoin, spam, splitting, topn
+from lodestar.llm import leakage, mixing, overlap, packing, scan, setjoin, spam, splitting, topn
 
 
 def queries() -> dict:
     return {
         "p1_found": splitting.p1_found,
         "p1_pieces": splitting.p1_pieces,
+        "p2_found": overlap.p2_found,
+        "p2_report": overlap.p2_report,
         "p3_found": setjoin.p3_found,
         "p4_found": leakage.p4_found,
         "p4_leaks": leakage.p4_leaks,
