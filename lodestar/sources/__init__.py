@@ -1 +1 @@
-"""lodestar.sources"""
+"""Readers and writers."""
