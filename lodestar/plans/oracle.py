@@ -73,7 +73,7 @@ def _graded(run: str, rel: str, out: str) -> str:
  {out}_r AS (SELECT query_id, doc_id, max(score) AS score FROM {rel} GROUP BY ALL),
  {out}_i AS (SELECT query_id, {dcg('i', 5)} AS i5, {dcg('i', 10)} AS i10, count_if(score >= 1) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM {out}_r) GROUP BY query_id),
  {out}_p AS (SELECT run_id, query_id, min(CASE WHEN score = 2 THEN rank END) AS first, {dcg('rank', 5)} AS d5, {dcg('rank', 10)} AS d10,
-   count_if(rank <= 5 AND score >= 1) AS h5, count_if(rank <= 10 AND score >= 1) AS h10, count_if(rank <= 20 AND score >= 1) AS h20 FROM {run} JOIN {out}_r USING (query_id, doc_id) GROUP BY ALL),
+   count_if(rank <= 5 AND score >= 1) AS h5, count_if(rank <= 10 AND score >= 1) AS h10, count_if(rank <= 20 AND score >= 1) AS h20 FROM (SELECT run_id, query_id, rank, doc_id FROM {run}) JOIN {out}_r USING (query_id, doc_id) GROUP BY ALL),
  {out} AS (SELECT run_id, query_id, coalesce(1.0 / first, 0.0) AS mrr, CASE WHEN i5 > 0 THEN coalesce(d5, 0) / i5 ELSE 0.0 END AS ndcg_5, CASE WHEN i10 > 0 THEN coalesce(d10, 0) / i10 ELSE 0.0 END AS ndcg_10,
    coalesce(h5, 0) / 5.0 AS p_5, coalesce(h10, 0) / 10.0 AS p_10, CASE WHEN relevant > 0 THEN coalesce(h10, 0) / relevant ELSE 0.0 END AS r_10, CASE WHEN relevant > 0 THEN coalesce(h20, 0) / relevant ELSE 0.0 END AS r_20
    FROM (SELECT DISTINCT run_id FROM {run}) CROSS JOIN {out}_i LEFT JOIN {out}_p USING (run_id, query_id))"""
