@@ -223,12 +223,19 @@ def leaked_passages(
                         got.setdefault((int(a_seq[x]), int(d[y])), []).append((int(a_pos[x]), int(at[y])))
         for (s, d), seeds in got.items():
             seq = seqs[s]
-            # text around the seeds, far enough for the whole part on either side
-            lo = max(int(off[d]), min(at - i for i, at in seeds) - BAND)
-            hi = min(int(off[d + 1]), max(at + len(seq) - i for i, at in seeds) + 3 * BAND)
-            n = align(seq, flat[lo:hi], least, changed)
-            if n:
-                yield (*names[s], int(ids[d]), n)
+            # where the part would begin by each seed; near ones are one place, aligned in a window of bounded length
+            best, first, last = 0, None, None
+            for begin in [*sorted({at - i for i, at in seeds}), None]:
+                if first is not None and (begin is None or begin - last > 2 * BAND or begin - first > 6 * BAND):
+                    lo, hi = max(int(off[d]), first - BAND), min(int(off[d + 1]), last + len(seq) + 3 * BAND)
+                    best = max(best, align(seq, flat[lo:hi], least, changed))
+                    first = None
+                    if best == len(seq):
+                        break
+                first = begin if first is None else first
+                last = begin
+            if best:
+                yield (*names[s], int(ids[d]), best)
 
     def run(batches):
         import pyarrow as pa
