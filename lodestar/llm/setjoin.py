@@ -93,8 +93,9 @@ def similar_in_group(sets: list, key: tuple, threshold: float):
                 if got[-1] != i:
                     own.append(got)
         low = bisect_left(sizes, least, 0, i)
-        if need <= 0:
-            found = list(range(low, i))
+        if need <= 0:  # the key may be all that is required: only sets of a few values
+            mine = set(s)
+            found = [j for j in range(low, i) if len(mine.intersection(sets[j])) >= required(n, sizes[j], threshold)]
         elif low < i and len(own) >= need:
             own.sort(key=len)
             aside = own[len(own) - need + 1 :] if need > 1 else []
@@ -173,14 +174,11 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float =
 
             def flush():
                 if len(group) > 1:
-                    for i, j in similar_in_group(group, now, threshold):
-                        x, y = group[i], group[j]
-                        if n_skip == 1:
-                            first = next(iter(sorted(set(x).intersection(y))), None)
-                            mine = first == now[0]
-                        else:
-                            mine = tuple(sorted(set(x).intersection(y))[:2]) == now
-                        if mine:
+                    alone = n_skip == 2 and now[0] == now[1]
+                    for i, j in similar_in_group(group, now[:1] if alone else now, threshold):
+                        common = sorted(set(group[i]).intersection(group[j]))
+                        # in the group of the first common values only
+                        if common == [now[0]] if alone else tuple(common[:n_skip]) == now:
                             a.append(ids[i])
                             b_.append(ids[j])
 
@@ -188,7 +186,8 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float =
                 """Under each second value of the prefix of what follows w: sets whose first common value is w share one."""
                 at = s.index(w)
                 need = ceil(threshold * len(s) - 1e-9)
-                for v in s[at + 1 : at + 1 + max(len(s) - need + 1, 0)]:
+                # where one common value can suffice, also under w alone
+                for v in ([w] if need == 1 else []) + s[at + 1 : at + 1 + max(len(s) - need + 1, 0)]:
                     for col, x in zip(again, (w, v, i, len(s), s)):
                         col.append(x)
 
