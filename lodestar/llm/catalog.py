@@ -27,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**splitting.SQL, **topn.SQL}
+    return {**splitting.SQL, **setjoin.SQL, **topn.SQL}

@@ -284,3 +284,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     across = links.join(x, "rec_a").join(y, "rec_b").select("x", "y")
     within = x.join(y, F.col("rec_a") == F.col("rec_b")).filter("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("neg_a"), F.greatest("x", "y").alias("neg_b")).distinct()
+
+
+SQL = {
+    "p3_found": """
+WITH s AS (SELECT neg_id, list_distinct(list_filter(list_transform(shared_codes, lambda x: regexp_extract(x, '[0-9]+')), lambda x: x <> '')) AS s FROM (SELECT DISTINCT neg_id, shared_codes FROM neg_records WHERE shared_codes IS NOT NULL)),
+t AS (SELECT neg_id, len(s) AS n, unnest(s) AS c FROM s WHERE len(s) >= 4),
+p AS (SELECT a.neg_id AS neg_a, b.neg_id AS neg_b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.c = b.c AND a.neg_id < b.neg_id WHERE 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT neg_a, neg_b FROM p WHERE 4 * k >= 3 * (na + nb - k)""",
+}
