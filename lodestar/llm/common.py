@@ -23,15 +23,17 @@ MISREAD = (
 BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # ----------------------------------------------------------------------------------
 
-_SINGLES = str.maketrans({"0": "o", "1": "l", "|": "l", "i": "l", "5": "s", "9": "g", "8": "b", "6": "b"})
+# Each letter as a run of simple strokes, such that both sides of every misreading become the same run, whatever stands
+# around them: m as rn, n as ri and so on down to letters that nothing is misread for.
+_STROKES = str.maketrans(
+    {"i": "l", "1": "l", "|": "l", "h": "ll", "b": "ll", "6": "ll", "8": "ll", "u": "ll", "n": "rl", "m": "rrl", "d": "cl", "w": "vv", "0": "o", "5": "s", "9": "g"}
+)
 _WORD = re.compile(r"[^\W_]+(?:\|[^\W_]*)*|\|[^\W_]+")
 
 
 def fold_letters(s: str) -> str:
     """A key equal for spellings that differ only by scanner misreadings (letters and mixed words)."""
-    s = s.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("vv", "w").replace("ii", "u")
-    s = s.translate(_SINGLES)
-    return s.replace("ll", "h").replace("b", "h").replace("u", "h")
+    return s.translate(_STROKES)
 
 
 def fold_word(w: str) -> str:
