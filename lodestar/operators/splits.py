@@ -10,12 +10,28 @@ def seeded_key(id_col: str, seed: str = "20260521"):
     return F.md5(F.concat(F.lit(seed + "|"), F.col(id_col).cast("string")))
 
 
+def smallest(df: DataFrame, group: str, key: str, id_col: str, takes: DataFrame, take: str) -> DataFrame:
+    """Of each group the rows with the `take` smallest hexadecimal keys, ties by id; takes: group (null-safe), take.
+
+    The first three digits make 4,096 buckets: their counts tell which are taken whole, and only the one where the
+    number is reached is ranked, so that a group of any size is spread over many tasks.
+    """
+    b = F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+    d = df.withColumn("_b", b)
+    per = d.groupBy(group, "_b").agg(F.count("*").alias("_m"))
+    t = takes.select(F.col(group).alias("_g"), F.col(take).alias("_take"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.withColumn("_before", before).join(t, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_room", F.col("_take") - F.col("_before")).filter("_room > 0")
+    per = per.select(F.col(group).alias("_g"), F.col("_b").alias("_c"), "_room")
+    x = d.join(per, d[group].eqNullSafe(per["_g"]) & (d["_b"] == per["_c"]))
+    w = Window.partitionBy(group, "_b").orderBy(key, id_col)
+    return x.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_room")).drop("_b", "_g", "_c", "_room", "_rn")
+
+
 def fraction_per_stratum(df: DataFrame, id_col: str, stratum: str, fraction: float = 0.05, seed: str = "20260521") -> DataFrame:
     """The same share of every stratum, rounded half to even; small strata may give no row."""
-    n = df.groupBy(stratum).agg(F.bround(F.count("*") * F.lit(fraction)).cast("long").alias("_take"))
-    w = Window.partitionBy(stratum).orderBy("_key", id_col)
-    ranked = df.withColumn("_key", seeded_key(id_col, seed)).join(n, df[stratum].eqNullSafe(n[stratum])).drop(n[stratum])
-    return ranked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_take")).drop("_rn", "_take", "_key")
+    n = df.groupBy(stratum).agg(F.bround(F.count("*") * F.lit(fraction)).cast("long").alias("_n"))
+    return smallest(df.withColumn("_key", seeded_key(id_col, seed)), stratum, "_key", id_col, n, "_n").drop("_key")
 
 
 def proportional_sample(df: DataFrame, id_col: str, stratum: str, total: int, seed: str = "20260521") -> DataFrame:
@@ -23,10 +39,9 @@ def proportional_sample(df: DataFrame, id_col: str, stratum: str, total: int, se
     d = df.withColumn("_s", F.coalesce(F.col(stratum), F.lit("unclassified"))).withColumn("_key", seeded_key(id_col, seed))
     n = d.groupBy("_s").agg(F.count("*").alias("_n"))
     n = n.withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
-    n = n.select("_s", F.greatest(F.lit(1), F.bround(F.lit(float(total)) * F.col("_n") / F.col("_all"))).cast("long").alias("_take"))
-    w = Window.partitionBy("_s").orderBy("_key", id_col)
-    picked = d.join(n, "_s").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.col("_take"))
-    return picked.orderBy(F.md5(F.col("_key")), id_col).limit(total).drop("_s", "_key", "_rn", "_take")
+    n = n.select("_s", F.greatest(F.lit(1), F.bround(F.lit(float(total)) * F.col("_n") / F.col("_all"))).cast("long").alias("_want"))
+    picked = smallest(d, "_s", "_key", id_col, n, "_want")
+    return picked.orderBy(F.md5(F.col("_key")), id_col).limit(total).drop("_s", "_key")
 
 
 def prefix(df: DataFrame, n: int, order: list[str]) -> DataFrame:
