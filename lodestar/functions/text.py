@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # --- fixed values: white space, patterns and word lists -------------------------------
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 LEADING_LABEL = rf"(?i)^{SPACE}*(?:QUESTION|QUESTIONS?{SPACE}*PRESENTED|ISSUE){SPACE}*[:.\-]{SPACE}*"
 LEADING_NUMBER = rf"^{SPACE}*(?:[0-9]+{SPACE}*[.)]{SPACE}*)+"
 STATUTE = r"(?i)(?:Section|Gov(?:ernment)?\.?\s*Code)\s+(\d{3,5})(\([a-zA-Z0-9]\))?"
@@ -27,9 +28,14 @@ LEAKAGE_STOPWORDS = (
 # ---------------------------------------------------------------------------------------
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value worked out once: inside another lambda it would be worked out for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def filled(c: Column) -> Column:
@@ -50,7 +56,7 @@ def _without(tokens: Column, stop) -> Column:
 
 def retrieval_tokens(c: Column) -> Column:
     """Tokens for lexical scoring: lower case, 87103(a) as 87103a, letters, digits and hyphens, no stop words."""
-    joined = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(\d+)\(([a-zA-Z0-9])\)", "$1$2")
+    joined = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<=\d)\(([a-z0-9])\)", "$1")  # beginning with the rare sign
     return _without(F.split(F.trim(F.regexp_replace(joined, r"[^a-z0-9\-]+", " ")), " "), RETRIEVAL_STOPWORDS)
 
 
@@ -62,8 +68,8 @@ def leakage_tokens(c: Column) -> Column:
 def char_ngrams(c: Column, n: int = 5) -> Column:
     """The set of character n-grams of the lower-case, space-collapsed text; a shorter text is its only one, an empty one has none."""
     s = strip(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), f"{SPACE}+", " "))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(grams)
+    grams = lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
+    return let(s, lambda s: F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(grams(s)))
 
 
 def base_code(c: Column) -> Column:

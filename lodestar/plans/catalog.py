@@ -64,7 +64,7 @@ def lexical(spark, sf_dir):
 def hashed(df: DataFrame, id_col: str, text: str, out: str) -> DataFrame:
     """Token counts in 64 hashed places: stands in for an encoder, which is a model from outside."""
     b = F.transform(T.retrieval_tokens(F.col(text)), lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int") % 64)
-    return df.select(F.col(id_col).alias(out), b.alias("_b")).select(out, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter("_b", lambda x: x == i)).cast("double")).alias("v"))
+    return df.select(F.col(id_col).alias(out), T.let(b, lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))).alias("v"))
 
 
 def pool(spark, sf_dir) -> DataFrame:
