@@ -23,6 +23,12 @@ def wins(delta_rows: DataFrame, queries: DataFrame, dims: list[str], margin: flo
     )
 
 
+def largest(delta_rows: DataFrame, n: int = 20) -> DataFrame:
+    """The n queries with the largest absolute change, ties by query, with a mark for rise, fall or neither."""
+    d = F.round("delta", 9)
+    return delta_rows.orderBy(F.desc(F.abs(d)), "query_id").limit(n).withColumn("mark", F.when(d > 0, "+").when(d < 0, "-").otherwise("="))
+
+
 def oracle_mean(per_query: DataFrame, a: str, b: str, metric: str) -> DataFrame:
     """n and the mean of the better of two runs per query."""
     return deltas(per_query, a, b, metric).agg(F.count("*").alias("n"), F.round(F.avg(F.greatest("a", "b")), 6).alias("oracle"))

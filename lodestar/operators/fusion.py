@@ -26,6 +26,21 @@ class Trial:
     boost_w_sem: float = 0.7
 
 
+def trials_from_config(config: dict) -> list[Trial]:
+    """The trials of a sweep's configuration, in order. The path switch keeps the value of the trial before (at first the
+    configuration's) where a trial names none; all other knobs fall back to their defaults. A lexical weight has no effect.
+    """
+    out, all_path = [], bool(config.get("semantic_only_path", False))
+    for t in config["trials"]:
+        all_path = bool(t.get("semantic_only_path", all_path))
+        out.append(
+            Trial(
+                t["label"], t["w_sem"], t["cb_threshold"], all_path, t.get("w_sem_by_type") or {}, t.get("confidence_top1_threshold"), t.get("confidence_gap_threshold"), t.get("confidence_boost_w_sem", 0.7),
+            )
+        )
+    return out
+
+
 def _trials(trials: list[Trial]) -> Column:
     none = F.lit(None).cast("double")
     num = lambda v: none if v is None else F.lit(float(v))

@@ -14,7 +14,7 @@ def first_per_id(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull()).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def build_pairs(opinions: DataFrame) -> DataFrame:
+def build_pairs(opinions: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One pair per usable opinion.
 
     Input: id, year, sections, embedding, classification, content (nested; missing, null and blank texts are alike).
@@ -34,7 +34,7 @@ def build_pairs(opinions: DataFrame) -> DataFrame:
         F.when(real.isNotNull(), "real").when(synth.isNotNull(), "synthetic").alias("question_source"), F.coalesce(F.col("embedding.qa_source"), F.lit("")).alias("qa_source"),
         F.col("classification.topic_primary").alias("topic_primary"), qa.alias("pos_qa_text"), body.alias("pos_body"), F.concat(qa, F.lit("\n\n"), body).alias("pos_qa_plus_body"), full.alias("pos_full_text"),
         real.isNotNull().alias("has_real_question"), synth.isNotNull().alias("has_synth_question"), facts.isNotNull().alias("has_facts"), analysis.isNotNull().alias("has_analysis"),
-        conclusion.isNotNull().alias("has_conclusion"), body.isNotNull().alias("body_complete"), reason.alias("reason"),
+        conclusion.isNotNull().alias("has_conclusion"), body.isNotNull().alias("body_complete"), reason.alias("reason"), *(keep or []),
     )
 
 
@@ -51,6 +51,41 @@ def coverage(pairs: DataFrame) -> DataFrame:
     return flat.groupBy("dimension", "value").agg(F.count("*").alias("n"))
 
 
+def counters(opinions: DataFrame, held: DataFrame) -> DataFrame:
+    """outcome, n of every record, which add up to the input: duplicate_or_no_id, held_out, no_question, short_or_empty, emitted.
+
+    The first that holds counts, in this order; opinions need `id` and an `ordinal` that tells first deliveries.
+    """
+    w = Window.partitionBy("id").orderBy("ordinal")
+    seen = opinions.withColumn("_rn", F.row_number().over(w)).withColumn("_dup", F.col("id").isNull() | (F.col("_rn") > 1))
+    gone = held.select(F.col(held.columns[0]).alias("_h")).distinct().withColumn("_out", F.lit(True))
+    x = seen.join(gone, F.col("id") == F.col("_h"), "left")
+    pair = build_pairs(x, keep=["_dup", "_out"])
+    outcome = F.when(F.col("_dup"), "duplicate_or_no_id").when(F.col("_out"), "held_out").otherwise(F.coalesce("reason", F.lit("emitted")))
+    return pair.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def question_coverage(opinions: DataFrame) -> DataFrame:
+    """real, synthetic_only, neither: how many opinions have which question."""
+    real, synth = filled(F.col("sections.question")), filled(F.col("sections.question_synthetic"))
+    return opinions.agg(F.count_if(real.isNotNull()).alias("real"), F.count_if(real.isNull() & synth.isNotNull()).alias("synthetic_only"), F.count_if(real.isNull() & synth.isNull()).alias("neither"))
+
+
+def language_model_texts(docs: DataFrame, id_col: str, text_col: str, held: DataFrame, least: int = 100) -> DataFrame:
+    """id and text of the documents that aren't held out and have at least `least` characters."""
+    return without(docs.filter(F.length(text_col) >= least), held, id_col).select(id_col, text_col)
+
+
+def paraphrase_rows(pairs: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Two rows, a keyword and a fact-pattern question, for every pair with a parsed answer; all other columns as they were.
+
+    answers: key, a (struct keyword, fact_pattern, or null where parsing failed).
+    """
+    forms = F.array(*[F.struct(F.col(f"a.{f}").alias("question"), F.lit(f"synthetic_{f}").alias("question_source")) for f in ("keyword", "fact_pattern")])
+    x = pairs.drop("question", "question_source").join(answers.filter("a IS NOT NULL").select(key, "a"), key)
+    return x.withColumn("_q", F.explode(forms)).select(*[c for c in x.columns if c != "a"], "_q.question", "_q.question_source")
+
+
 def top_categories(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     """The n most frequent values of a column, ties by value; a global top-k, which Spark takes per partition first."""
     return df.groupBy(F.coalesce(F.col(col), F.lit("")).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(n)

@@ -165,6 +165,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "paraphrase_json": lambda s, d: answers(s, d).select("event_id", T.paraphrase_json(F.col("answer")).alias("a")).select("event_id", "a.keyword", "a.fact_pattern"),
         "build_pairs": lambda s, d: pairs.build_pairs(nested(s, d)).drop("pos_full_text", "pos_qa_text").withColumns({"pos_body": F.md5("pos_body"), "pos_qa_plus_body": F.md5("pos_qa_plus_body")}),
         "pair_reasons": lambda s, d: pairs.build_pairs(nested(s, d)).groupBy(F.coalesce("reason", F.lit("pair")).alias("reason")).agg(F.count("*").alias("n")),
+        "pair_counters": lambda s, d: pairs.counters(_records(s, d), _hard_anchors(s, d)),
+        "question_coverage": lambda s, d: pairs.question_coverage(nested(s, d)),
+        "language_model_texts": lambda s, d: pairs.language_model_texts(opinions(s, d), "doc_id", "full_text", table(s, d, "heldout_pairs").select("opinion_id")).select("doc_id", F.md5("full_text").alias("text")),
+        "paraphrase_rows": lambda s, d: pairs.paraphrase_rows(p(s, d).select("pair_id", "year", "question", "question_source"), _answered(s, d), "pair_id"),
         "first_deliveries": lambda s, d: pairs.first_per_id(p(s, d), "opinion_id", ["ingested_at", "pair_id"]).select("opinion_id", "pair_id"),
         "coverage": lambda s, d: pairs.coverage(p(s, d)),
         "top_topics": lambda s, d: pairs.top_categories(p(s, d), "topic_primary"),
@@ -194,6 +198,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fusion_metrics": lambda s, d: metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS),
         "best_trial": lambda s, d: compare.best_trial(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_5"),
         "run_wins": lambda s, d: compare.wins(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"), eval_queries(s, d), DIMS),
+        "largest_changes": lambda s, d: _rounded(compare.largest(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10")), ["query_id"]),
         "oracle_mean": lambda s, d: compare.oracle_mean(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"),
         "metric_pivot": lambda s, d: compare.pivot_metric(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_10", [t.label for t in TRIALS]),
         "side_by_side": lambda s, d: compare.side_by_side(sweep(s, d)[0], qrels(s, d), ["w60", "w40_all"]),
@@ -208,6 +213,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _records(spark, sf_dir) -> DataFrame:
+    """The nested records under their opinion numbers, in order of delivery."""
+    n = nested(spark, sf_dir)
+    return n.withColumn("ordinal", F.col("id").cast("long")).drop("id").join(table(spark, sf_dir, "pairs").select(F.col("pair_id").alias("ordinal"), F.col("opinion_id").alias("id")), "ordinal")
+
+
+def _hard_anchors(spark, sf_dir) -> DataFrame:
+    """Stands for a held-out list: the opinions that are anchors."""
+    return table(spark, sf_dir, "neg_records").filter("anchor_id IS NOT NULL").select("anchor_id")
+
+
+def _answered(spark, sf_dir) -> DataFrame:
+    """Parsed model answers for pairs; pair k has that of event k - 1,000,000."""
+    return answers(spark, sf_dir).select((F.col("event_id") + 1_000_000).alias("pair_id"), T.paraphrase_json(F.col("answer")).alias("a"))
+
+
 def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[c if c in keys or t != "double" else F.round(c, 6).alias(c) for c, t in df.dtypes])
 

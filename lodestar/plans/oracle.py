@@ -173,6 +173,12 @@ SQL = {
     "build_pairs": f"""WITH {_BUILT} SELECT CAST(pair_id AS VARCHAR) AS opinion_id, coalesce(nullif(year, 0), 0) AS year, question, CASE WHEN real IS NOT NULL THEN 'real' WHEN synth IS NOT NULL THEN 'synthetic' END AS question_source, coalesce(nullif(qa_source, ''), '') AS qa_source, topic_primary,
   md5(body) AS pos_body, md5(qa || chr(10) || chr(10) || body) AS pos_qa_plus_body, real IS NOT NULL AS has_real_question, synth IS NOT NULL AS has_synth_question, facts IS NOT NULL AS has_facts, analysis IS NOT NULL AS has_analysis, conclusion IS NOT NULL AS has_conclusion, body IS NOT NULL AS body_complete, reason FROM reasoned""",
     "pair_reasons": f"WITH {_BUILT} SELECT coalesce(reason, 'pair') AS reason, count(*) AS n FROM reasoned GROUP BY 1",
+    "pair_counters": f"""WITH {_BUILT}, r AS (SELECT reasoned.reason, pairs.opinion_id AS id, row_number() OVER (PARTITION BY pairs.opinion_id ORDER BY pair_id) AS rn FROM reasoned JOIN pairs USING (pair_id))
+ SELECT CASE WHEN id IS NULL OR rn > 1 THEN 'duplicate_or_no_id' WHEN id IN (SELECT anchor_id FROM neg_records WHERE anchor_id IS NOT NULL) THEN 'held_out' ELSE coalesce(reason, 'emitted') END AS outcome, count(*) AS n FROM r GROUP BY 1""",
+    "question_coverage": f"WITH {_BUILT} SELECT count_if(real IS NOT NULL) AS real, count_if(real IS NULL AND synth IS NOT NULL) AS synthetic_only, count_if(real IS NULL AND synth IS NULL) AS neither FROM reasoned",
+    "language_model_texts": f"WITH {_OPS} SELECT doc_id, md5(full_text) AS text FROM ops WHERE length(full_text) >= 100 AND doc_id NOT IN (SELECT opinion_id FROM heldout_pairs)",
+    "paraphrase_rows": """WITH a AS (SELECT event_id + 1000000 AS pair_id, event_type, user_id FROM events WHERE event_id % 4 < 2 AND trim(event_type) <> '')
+ SELECT pair_id, year, event_type AS question, 'synthetic_keyword' AS question_source FROM pairs JOIN a USING (pair_id) UNION ALL SELECT pair_id, year, 'seen by ' || user_id, 'synthetic_fact_pattern' FROM pairs JOIN a USING (pair_id)""",
     "first_deliveries": "SELECT opinion_id, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY ingested_at, pair_id) AS rn FROM pairs WHERE opinion_id IS NOT NULL) WHERE rn = 1",
     "coverage": " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce(CAST({d} AS VARCHAR), '') AS value, count(*) AS n FROM pairs GROUP BY 2" for d in ("question_source", "qa_source", "topic_primary", "year")),
     "top_topics": "SELECT coalesce(topic_primary, '') AS value, count(*) AS n FROM pairs GROUP BY 1 ORDER BY n DESC, value LIMIT 10",
@@ -208,6 +214,7 @@ SQL = {
     "fusion_metrics": f"WITH {_GROUPED} SELECT * FROM g",
     "best_trial": f"WITH {_GROUPED} SELECT run_id, ndcg_5 FROM g WHERE group_kind = 'overall' ORDER BY ndcg_5 DESC, run_id LIMIT 1",
     "run_wins": f"WITH {_DELTA} SELECT 'overall' AS group_kind, 'all' AS \"group\", {_WIN} UNION ALL SELECT 'query_type', query_type, {_WIN} GROUP BY query_type UNION ALL SELECT 'query_topic', query_topic, {_WIN} GROUP BY query_topic",
+    "largest_changes": f"WITH {_DELTA} SELECT query_id, round(a, 6) AS a, round(b, 6) AS b, round(delta, 6) AS delta, CASE WHEN round(delta, 9) > 0 THEN '+' WHEN round(delta, 9) < 0 THEN '-' ELSE '=' END AS mark FROM dl ORDER BY abs(round(delta, 9)) DESC, query_id LIMIT 20",
     "oracle_mean": f"WITH {_DELTA} SELECT count(*) AS n, round(avg(greatest(a, b)), 6) AS oracle FROM dl",
     "metric_pivot": f"WITH {_GROUPED} SELECT group_kind, \"group\", " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN ndcg_10 END) AS {r}" for r in ("w60", "w40_all", "lexical_all", "by_type", "boost")) + " FROM g GROUP BY ALL",
     "side_by_side": f"WITH {_SWEEP} SELECT query_id, rank, " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN doc_id || '|' || coalesce(CAST(q.score AS VARCHAR), '') END) AS {r}" for r in ("w60", "w40_all")) + " FROM run LEFT JOIN (SELECT query_id, doc_id, score FROM qrels) q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL",

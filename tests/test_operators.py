@@ -168,3 +168,33 @@ def test_leakage_measures(spark):
     o = spark.createDataFrame([("a", "May the gift report be late?")], "doc_id string, question string")
     got = {r["doc_id"]: r for r in leakage.measure(q, rel, o).collect()}
     assert got["a"]["token_jaccard"] == 0.5 and got["a"]["query_overlap"] == 0.667 and got["gone"]["token_jaccard"] is None
+
+
+def test_trials_from_config(spark):
+    config = {"trials": [{"label": "a", "w_bm25": 0.9, "w_sem": 0.4, "cb_threshold": 1.3}, {"label": "b", "w_sem": 0.4, "cb_threshold": 2.0, "semantic_only_path": True}, {"label": "c", "w_sem": 0.1, "cb_threshold": 2.0, "w_sem_by_type": {"keyword": 0.2}}]}
+    got = fusion.trials_from_config(config)
+    assert [(t.label, t.w_sem, t.all_path) for t in got] == [("a", 0.4, False), ("b", 0.4, True), ("c", 0.1, True)] and got[2].w_sem_by_type == {"keyword": 0.2} and got[0].boost_w_sem == 0.7
+
+
+def test_adaptive_rule_and_control_trial(spark):
+    q = spark.createDataFrame([("q", "keyword")], "query_id string, query_type string")
+    pool = spark.createDataFrame([("q", "a", 2.0, 0.0, True), ("q", "b", 1.9, 0.5, True), ("q", "c", 0.0, 1.0, True)], "query_id string, doc_id string, bm25 double, cos double, from_citation boolean")
+    run = lambda trials, **k: [r["doc_id"] for r in fusion.search(q, q, q, pool, trials, **k)[0].filter(f"run_id = '{trials[0].label}'").orderBy("rank").collect()]
+    assert run([fusion.Trial("x", w_sem=0.0)]) == ["a", "b", "c"]
+    assert run([fusion.Trial("x", w_sem=0.0)], adaptive=lambda top, mean, w: F.when(top > 0.9, 1.0).otherwise(w)) == ["c", "b", "a"]
+    assert run([fusion.Trial("control", w_sem=0.4, top1_threshold=999.0)]) == run([fusion.Trial("plain", w_sem=0.4)])
+
+
+def test_counters_add_up(spark):
+    q = "Is this long enough?"
+    rows = [(*opinion("a", question=q), 1), (*opinion("a", question=q), 2), (*opinion("h", question=q), 3), (*opinion("n"), 4), (*opinion("s", question="short"), 5), (*opinion(None, question=q), 6)]
+    df = spark.createDataFrame(rows, SCHEMA + ", ordinal int")
+    got = {r["outcome"]: r["n"] for r in pairs.counters(df, spark.createDataFrame([("h",), ("h",)], "x string")).collect()}
+    assert got == {"emitted": 1, "duplicate_or_no_id": 2, "held_out": 1, "no_question": 1, "short_or_empty": 1}
+    assert tuple(pairs.question_coverage(df).first()) == (5, 0, 1)
+
+
+def test_paraphrase_rows(spark):
+    p = spark.createDataFrame([(1, "q", "real", 2000), (2, "q", "real", 2001)], "pair_id int, question string, question_source string, year int")
+    a = spark.createDataFrame([(1, ("k", "f")), (2, None)], "pair_id int, a struct<keyword:string,fact_pattern:string>")
+    assert sorted(tuple(r) for r in pairs.paraphrase_rows(p, a, "pair_id").collect()) == [(1, 2000, "f", "synthetic_fact_pattern"), (1, 2000, "k", "synthetic_keyword")]
