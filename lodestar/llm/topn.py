@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list, n: int) -> DataFrame:
+def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int) -> DataFrame:
     """The n highest-scoring rows of each group, with column `position`.
 
-    Order: score descending, then `ties` (column names or sort expressions), which should end in an
-    identifier. Rows with a null group column or a null or NaN score are never kept. Rows equal in group,
+    Order: score descending, then the columns `ties` ascending with nulls last, which should end
+    in an identifier. Rows with a null group column or a null or NaN score are never kept. Rows equal in group,
     score and every tie column are one record and come out once. n < 1 gives no row; an empty table gives none.
 
     Plan: a rank filter directly on the window lets Catalyst place WindowGroupLimit before the shuffle, so a
@@ -25,15 +25,14 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list, n:
     s = F.col(f"`{score}`")
     if dict(df.dtypes)[score] in ("double", "float"):
         keep = keep & ~F.isnan(s)
-    order = [s.desc(), *[F.col(f"`{t}`").asc_nulls_last() if isinstance(t, str) else t for t in ties]]
+    order = [s.desc(), *[F.col(f"`{t}`").asc_nulls_last() for t in ties]]
     w = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(*order)
-    names = [t for t in ties if isinstance(t, str)]
     return (
         df.filter(s.isNotNull() & keep)
         .withColumn("_dense", F.dense_rank().over(w))
         .filter(F.col("_dense") <= n)
         .drop("_dense")
-        .dropDuplicates([*groups, score, *names])
+        .dropDuplicates([*groups, score, *ties])
         .withColumn("position", F.row_number().over(w))
         .filter(F.col("position") <= n)
     )

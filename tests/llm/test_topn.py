@@ -1,7 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
-
 from lodestar.llm.topn import top_n_per_group, top_negatives
 
 SCHEMA = "anchor_id string, source string, neg_id long, score double, rank int, position string, extra int"
@@ -35,5 +33,5 @@ def test_edges(spark):
     assert top_negatives(df).count() == 0
     one = spark.createDataFrame([("a", "s", 1, 1.0, None, "p", 7)] * 3, SCHEMA)
     assert top_negatives(one, 0).count() == 0
-    got = top_n_per_group(one, ["anchor_id"], "score", ["rank", F.col("neg_id")], 2).collect()
+    got = top_n_per_group(one, ["anchor_id"], "score", ["rank", "neg_id"], 2).collect()
     assert len(got) == 1 and got[0]["position"] == 1 and got[0]["extra"] == 7
