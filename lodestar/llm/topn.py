@@ -14,10 +14,9 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
     in an identifier. Rows with a null group column or a null or NaN score are never kept. Rows equal in group,
     score and every tie column are one record and come out once. n < 1 gives no row; an empty table gives none.
 
-    Plan: a rank filter directly on the window lets Catalyst place WindowGroupLimit before the shuffle, so a
-    group of any size leaves each task as a few rows; what arrives is ranked again. dense_rank comes first as it
-    keeps n distinct records however often each is delivered; the copies are then dropped and row_number filters,
-    both on the partitioning that the first window already made (one shuffle in all).
+    Plan: copies are dropped first, by an aggregation that collapses them in every task before its shuffle (which spreads by
+    record, so neither a hot group nor a hot record gathers). Then a rank filter directly on the row_number window lets
+    Catalyst place WindowGroupLimit before and after the shuffle by group: a group of any size leaves each task as n rows.
     """
     keep = F.lit(True)
     for g in groups:
@@ -29,9 +28,6 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ties: list[str
     w = Window.partitionBy(*[F.col(f"`{g}`") for g in groups]).orderBy(*order)
     return (
         df.filter(s.isNotNull() & keep)
-        .withColumn("_dense", F.dense_rank().over(w))
-        .filter(F.col("_dense") <= n)
-        .drop("_dense")
         .dropDuplicates([*groups, score, *ties])
         .withColumn("position", F.row_number().over(w))
         .filter(F.col("position") <= n)
