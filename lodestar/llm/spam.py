@@ -31,7 +31,7 @@ USUAL_SHARE = {"en": 0.38, "es": 0.45}
 
 BLOCK = 1000
 LEAST = 120  # characters that a block needs to be judged
-MIN_BLOCKS = 30  # blocks that a norm needs
+MIN_BLOCKS = 100  # blocks that a norm needs
 # each pattern begins with what is rare in a text, so that most letters are passed at once
 _PARA = re.compile(r"\n[ \t\r]*\n\s*")
 _SENTENCE = re.compile(r"(?:(?<=[^\W_])|(?<=[\"”’)\]]))[.!?;](?=\s|$)")
@@ -141,7 +141,7 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
 
     Null, blank and short texts (under least_chars) are never spam and have share 0. A language's norm is
     the median and the upper half's spread of the log ratio, less the usual one of the length, over all blocks of the
-    corpus (spam sits in the lower half); one of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: 3 rows.
+    corpus that have sentences (stuffed ones sit in the lower half); one of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: 3 rows.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     id_type = dict(docs.dtypes)[id_col]
@@ -167,7 +167,7 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(aside, pa.int32()), pa.array(blocks, kind)], names=["id", "lang", "aside", "blocks"])
 
     measured = src.mapInArrow(run, f"id {id_type}, lang string, aside int, blocks array<{block}>").persist()
-    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200").select("lang", (F.log("b.ratio") - F.log(BASE + SLOPE / F.col("b.bytes"))).alias("r"))
+    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200 AND b.ends >= 0.02").select("lang", (F.log("b.ratio") - F.log(BASE + SLOPE / F.col("b.bytes"))).alias("r"))
     norm = flat.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("r", [0.5, 0.75], 2000).alias("q")).filter(F.col("n") >= MIN_BLOCKS)
     norms = {r["lang"]: (r["q"][0], min(max((r["q"][1] - r["q"][0]) / 0.6745, 0.03), 0.08)) for r in norm.collect()}
 
@@ -183,7 +183,7 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share, pa.float64()), pa.array(dev, pa.float64())], names=["id", "spam_share", "deviation"])
 
     got = measured.mapInArrow(score, f"id {id_type}, spam_share double, deviation double")
-    return got.select(F.col("id").alias(id_col), "spam_share", "deviation", ((F.col("spam_share") > 0.5) | (F.col("deviation") <= -redundant)).alias("is_spam"))
+    return got.select(F.col("id").alias(id_col), "spam_share", "deviation", (F.col("spam_share") > 0.5).alias("is_spam"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
