@@ -57,20 +57,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_to:
-        return set_to
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    at = tempfile.mkdtemp(prefix="lodestar-")
-    spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 _encoders: dict[str, object] = {}
 
 

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodestar.llm.common import MISREAD, checkpoint_dir, fold_letters, fold_word, words
+from lodestar.llm.common import MISREAD, fold_letters, fold_word, words
 
 LETTERS = st.text(alphabet="abcdefghilmnorstuvw", max_size=6)
 
@@ -16,7 +16,3 @@ def test_misreadings_have_one_key(read, printed, before, after):
 def test_words():
     assert words("The ﬁling's $1,100 — c|ient") == ["the", "filing", "1", "100", "c|ient"]
     assert fold_word("1985") == "1985" and fold_word("1imited") == fold_word("limited")
-
-
-def test_checkpoint_folder_is_the_session_s(spark):
-    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
