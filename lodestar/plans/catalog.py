@@ -57,8 +57,8 @@ def qrels(spark, sf_dir):
     return leakage.judgments(eval_queries(spark, sf_dir))
 
 
-def lexical(spark, sf_dir):
-    return bm25.scores(opinions(spark, sf_dir), "doc_id", "qa", bm25.query_terms(eval_queries(spark, sf_dir), "query_id", "query_text"))
+def lexical(spark, sf_dir, ops=None):
+    return bm25.scores(ops or opinions(spark, sf_dir), "doc_id", "qa", bm25.query_terms(eval_queries(spark, sf_dir), "query_id", "query_text"))
 
 
 def hashed(df: DataFrame, id_col: str, text: str, out: str) -> DataFrame:
@@ -68,7 +68,8 @@ def hashed(df: DataFrame, id_col: str, text: str, out: str) -> DataFrame:
 
 
 def pool(spark, sf_dir) -> DataFrame:
-    q, ops, lex = eval_queries(spark, sf_dir), opinions(spark, sf_dir), lexical(spark, sf_dir).persist()
+    q, ops = eval_queries(spark, sf_dir), opinions(spark, sf_dir).persist()
+    lex = lexical(spark, sf_dir, ops).persist()
     cited = citations.cited_documents(citations.query_keys(q, "query_id", "query_text"), citations.citation_index(ops, "doc_id", "full_text")).persist()
     # dense scores of candidates only
     ids = fusion.pools(q, lex, cited, lex.limit(0)).select("query_id", "doc_id")
