@@ -39,3 +39,15 @@ def top_k(scored: DataFrame, k: int, ties: str = "doc_id") -> DataFrame:
     """The k best of each query by score, ties by id, with rank; scores of 0 and below are dropped after the cut."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), ties)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).filter("score > 0")
+
+
+def ranks_of(scored: DataFrame, wanted: DataFrame, ties: str = "doc_id") -> DataFrame:
+    """query_id, doc_id, rank of the wanted documents among all scored ones, in the order of top_k without its cut.
+
+    A rank is the number of documents that don't come later, so nothing is sorted and no query is gathered in a task. Give `scored`
+    persisted: it is read twice. The wanted pairs that are scored go to all tasks.
+    """
+    s = scored.filter("score > 0").select("query_id", "doc_id", F.round("score", 9).alias("s"), F.col(ties).alias("t"))
+    w = s.join(F.broadcast(wanted.select("query_id", "doc_id").distinct()), ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("wanted"), F.col("s").alias("ws"), F.col("t").alias("wt"))
+    ahead = s.join(F.broadcast(w), "query_id").filter("s > ws OR (s = ws AND t <= wt)")
+    return ahead.groupBy("query_id", F.col("wanted").alias("doc_id")).agg(F.count("*").cast("int").alias("rank"))

@@ -203,7 +203,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "oracle_mean": lambda s, d: compare.oracle_mean(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"),
         "metric_pivot": lambda s, d: compare.pivot_metric(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_10", [t.label for t in TRIALS]),
         "side_by_side": lambda s, d: compare.side_by_side(sweep(s, d)[0], qrels(s, d), ["w60", "w40_all"]),
-        "gold_ranks": lambda s, d: metrics.gold_ranks(bm25.top_k(lexical(s, d), 1000), qrels(s, d)),
+        "gold_ranks": lambda s, d: metrics.gold_ranks(bm25.ranks_of(lexical(s, d).persist(), qrels(s, d)), qrels(s, d)),
         "lexical_negatives": lexical_negatives,
         "hard_negatives": merged_negatives,
         "anchor_mix": lambda s, d: negatives.anchor_mix(table(s, d, "neg_records").withColumn("doc_id", F.col("anchor_id")), train(s, d).withColumn("doc_id", F.col("opinion_id"))),

@@ -198,3 +198,24 @@ def test_paraphrase_rows(spark):
     p = spark.createDataFrame([(1, "q", "real", 2000), (2, "q", "real", 2001)], "pair_id int, question string, question_source string, year int")
     a = spark.createDataFrame([(1, ("k", "f")), (2, None)], "pair_id int, a struct<keyword:string,fact_pattern:string>")
     assert sorted(tuple(r) for r in pairs.paraphrase_rows(p, a, "pair_id").collect()) == [(1, 2000, "f", "synthetic_fact_pattern"), (1, 2000, "k", "synthetic_keyword")]
+
+
+def test_gold_ranks_beyond_the_counters(spark):
+    # q1: 2,500 documents, ties of two; the judged ones stand beyond 1000; q2 has none of its judged documents scored
+    run = spark.createDataFrame([("q1", f"d{k:04d}", 5000.0 - k // 2) for k in range(2500)] + [("q2", "d0001", 1.0)], "query_id string, doc_id string, score double")
+    qrels = spark.createDataFrame([("q1", "d1912", 2), ("q1", "d2001", 2), ("q1", "d0099", 1), ("q1", "d0999", 1), ("q1", "d0001", 0), ("q1", "gone", 1), ("q2", "d0007", 2)], "query_id string, doc_id string, score int")
+    ranks = bm25.ranks_of(run, qrels)
+    assert sorted(map(tuple, ranks.collect())) == [("q1", "d0001", 2), ("q1", "d0099", 100), ("q1", "d0999", 1000), ("q1", "d1912", 1913), ("q1", "d2001", 2002)]
+    assert sorted(map(tuple, metrics.gold_ranks(ranks, qrels).collect())) == [("q1", 1913, 0, 1, 2), ("q2", 99999, 0, 0, 0)]
+
+
+def test_gold_ranks_query_has_no_cut(spark, tmp_path):
+    from lodestar.plans import catalog
+
+    # 1,200 shorter opinions are better than the judged ones
+    held = [(k, f"d{k:04d}", "q", "gift" + " council" * (k >= 1200)) for k in range(1300)]
+    spark.createDataFrame(held, "item_id long, opinion_id string, question string, pos_qa_text string").write.parquet(f"{tmp_path}/heldout_pairs.parquet")
+    spark.createDataFrame([], "pair_id long, opinion_id string, question string, pos_qa_text string, pos_full_text string").write.parquet(f"{tmp_path}/pairs.parquet")
+    judged = [("q1", "gift", [("d1249", 2), ("d0004", 1), ("d1205", 1)])]
+    spark.createDataFrame(judged, "query_id string, query_text string, relevance_judgments array<struct<opinion_id:string,score:int>>").write.parquet(f"{tmp_path}/eval_queries.parquet")
+    assert [tuple(r) for r in catalog.queries()["gold_ranks"](spark, str(tmp_path)).collect()] == [("q1", 1250, 0, 1, 1)]
