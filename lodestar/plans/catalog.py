@@ -209,7 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "anchor_mix": lambda s, d: negatives.anchor_mix(table(s, d, "neg_records").withColumn("doc_id", F.col("anchor_id")), train(s, d).withColumn("doc_id", F.col("opinion_id"))),
         "negative_list_lengths": lambda s, d: negatives.list_lengths(table(s, d, "neg_records"), "anchor_id"),
         "training_rows": training,
-        "chunks": lambda s, d: chunking.chunk_windows(table(s, d, "documents"), "doc_id", "text", 130, 4).select("doc_id", "chunk", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens")),
+        "chunks": lambda s, d: chunking.chunk_windows(table(s, d, "documents"), "doc_id", "text", 130).select("doc_id", "chunk", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens")),
         "resume": lambda s, d: resume(p(s, d).select("pair_id", "opinion_id"), table(s, d, "neg_records").select(F.col("anchor_id").alias("opinion_id")), "opinion_id").select("pair_id"),
     }
 

@@ -162,6 +162,18 @@ def test_chunks(spark):
     assert runs == list(range(runs[0], runs[0] + 30))
 
 
+def test_chunks_of_the_whole_text(spark, tmp_path):
+    from lodestar.plans import catalog
+
+    df = spark.createDataFrame([(1, " ".join(map(str, range(128 * 20 + 40)))), (2, "a " * 513), (3, "b " * 40)], "doc_id long, text string")
+    got = sorted(chunking.chunk_windows(df, "doc_id", "text", 130).collect(), key=lambda r: (r["doc_id"], r["chunk"]))
+    assert [int(t) for r in got if r["doc_id"] == 1 for t in r["tokens"]] == list(range(128 * 20 + 40))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()["chunks"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["chunk"], r["n_tokens"]) for r in rows) == [(r["doc_id"], r["chunk"], r["n_tokens"]) for r in got]
+    assert [sum(r["n_tokens"] for r in rows if r["doc_id"] == k) for k in (1, 2, 3)] == [2600, 512, 40]
+
+
 def test_leakage_measures(spark):
     q = spark.createDataFrame([("q", "keyword", "gift rules report")], "query_id string, query_type string, query_text string")
     rel = spark.createDataFrame([("q", "a", 2), ("q", "gone", 1)], "query_id string, doc_id string, score int")
