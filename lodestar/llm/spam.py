@@ -77,14 +77,16 @@ def _paragraphs(text: str):
 
 
 def language(text: str, declared: str | None) -> str:
-    """en, es or other: as declared, else by function words."""
+    """en, es or other: as declared, else by the function words of the whole text."""
     d = (declared or "").strip().lower()
     if d in FUNCTION_WORDS:
         return d
-    ws = _WORD.findall(text[:4000].lower() + text[-2000:].lower())
+    if d and d != "und":
+        return "other"
+    ws = _WORD.findall(text.lower())
     got = {k: sum(w in v for w in ws) for k, v in FUNCTION_WORDS.items()}
     best = max(got, key=got.get)
-    return best if got[best] * 8 >= len(ws) and (not d or d == "und") else "other"
+    return best if got[best] * 8 >= len(ws) else "other"
 
 
 def measure(text: str, lang: str) -> tuple[list[tuple], int]:

@@ -1,6 +1,6 @@
 import random
 
-from lodestar.llm.spam import spam_scores
+from lodestar.llm.spam import language, spam_scores
 
 WORDS = "agency council member report gift value official decision interest property income committee meeting contract source city county manager letter question analysis facts board term".split()
 
@@ -38,3 +38,10 @@ def test_kinds(spark):
     assert {r["doc_id"] for r in got if r["is_spam"]} == {*bad, None}
     assert all(r["spam_share"] == 0 for r in got if r["doc_id"] in ("short", "blank", "empty", "null"))
     assert spam_scores(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_language_of_the_whole_text():
+    en, es = "The gift of the council is in the report and may be of that member. ", "El regalo de la ciudad es para los que no han sido parte de una reunion con el. "
+    text = en * 60 + es * 400 + en * 30
+    assert language(text, None) == language(text, "und") == "es" and language(text, "en") == "en" and language(text, "fr") == "other"
+    assert language(en * 10, " ") == "en" and language("xyz " * 50, None) == "other"
