@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "p1_found": splitting.p1_found,
         "p1_pieces": splitting.p1_pieces,
+        "p1_rejoined": splitting.p1_rejoined,
         "p2_found": overlap.p2_found,
         "p2_report": overlap.p2_report,
         "p3_found": setjoin.p3_found,

@@ -39,6 +39,21 @@ def test_limits():
         cut_points("x", 10, 10)
 
 
+@settings(max_examples=250, deadline=None)
+@given(st.text(alphabet="ab .\n", min_size=1, max_size=200), st.integers(1, 50), st.data())
+def test_every_overlap_below_the_limit_ends(text, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    got = cut_points(text * 3, limit, overlap)
+    assert "".join((text * 3)[f:e] for _, f, e, _ in got) == text * 3
+    assert all(0 < e - b <= limit and f < e for b, f, e, _ in got)
+
+
+@pytest.mark.parametrize("limit, overlap", [(100, 85), (100, 90), (100, 79), (100, 99), (10, 9), (6000, 5999)])
+def test_large_overlaps_end(limit, overlap):
+    got = cut_points("word " * 2000, limit, overlap)
+    assert all(e - b <= limit and f < e for b, f, e, _ in got) and got[-1][2] == 10_000
+
+
 def test_frame(spark):
     long = "é" * 6001
     rows = [(1, long, None, 5, "f"), (1, long, None, 5, "f"), (2, "x" * 6000, "", 5, "f"), (None, "a b " * 5000, "c", 5, "f"), (3, "z" * 3_000_000, None, 5, "f")]
