@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from lodestar.llm import leakage, mixing, overlap, packing, scan, setjoin, spam, splitting, topn
+from lodestar.llm import common, leakage, mixing, overlap, packing, scan, setjoin, spam, splitting, topn
+
+
+def _alone(query):
+    """The query, after what the one before kept is given back."""
+
+    def run(spark, sf_dir):
+        common.release()
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
+    return {k: _alone(q) for k, q in _queries().items()}
+
+
+def _queries() -> dict:
     return {
         "p1_found": splitting.p1_found,
         "p1_pieces": splitting.p1_pieces,

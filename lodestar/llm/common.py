@@ -53,6 +53,27 @@ def with_columns_safe(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+_kept: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persisted (in memory, then on disk) until release(); made again where an executor is lost."""
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def release() -> None:
+    """Gives back what operators of this process have kept. What is still in use is made again when needed."""
+    while _kept:
+        try:
+            _kept.pop().unpersist()
+        except Exception:  # noqa: BLE001  (its session has ended)
+            continue
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,8 +1,12 @@
 """Keyword-stuffed and link-list pages, by block-wise compression ratio and sentence punctuation.
 
-Every text is cut into blocks of about a thousand characters at blank lines. A block's zlib ratio is compared with what
-blocks of that language and length have over the whole corpus; what is far more redundant than that is stuffed, and
-a block almost without sentence ends and function words is a list. Rows of tables, contents and agendas are put aside first.
+Every text is cut into blocks of about a thousand characters at blank lines, and every block is compressed twice: as it
+is, which shows repeated keywords, and as its skeleton, in which links, numbers and all words but function words stand as one
+sign for their class, which shows lists of ever new links, names or tags. Both sizes are set against what blocks of that
+language and length take over the whole corpus. A block far below is redundant, and is spam if its sentence punctuation
+confirms it: few sentence ends per word, sentences of one skeleton counted once. The further below, the less the
+punctuation must be, as stuffed sentences keep some. No block is spam by its words or its punctuation alone.
+Rows of tables, contents and agendas are put aside first.
 """
 
 from __future__ import annotations
@@ -10,11 +14,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.common import keep
+
 # --- fixed values: function words ----------------------------------------------------
 FUNCTION_WORDS = {
     "en": frozenset(
@@ -23,10 +28,8 @@ FUNCTION_WORDS = {
     ),
     "es": frozenset("el la los las un una unos unas y e o en de del al por para con sin no que se su sus lo como es son fue ha más porque ni cuando donde entre sobre hasta desde este esta".split()),
 }
-#: Expected ratio of an unusual language or length: BASE + SLOPE / bytes, with SPREAD of its logarithm.
-BASE, SLOPE, SPREAD = 0.485, 50.0, 0.045
-#: The share that function words have in prose.
-USUAL_SHARE = {"en": 0.38, "es": 0.45}
+#: Expected sizes of an unusual language, as shares of a block's bytes: BASE + SLOPE / bytes, with SPREAD of the logarithm; of the block and of its skeleton.
+CURVES = {"ratio": (0.485, 50.0, 0.045), "skeleton": (0.17, 12.0, 0.15)}
 # -------------------------------------------------------------------------------------
 
 BLOCK = 1000
@@ -35,8 +38,10 @@ MIN_BLOCKS = 100  # blocks that a norm needs
 # each pattern begins with what is rare in a text, so that most letters are passed at once
 _PARA = re.compile(r"\n[ \t\r]*\n\s*")
 _SENTENCE = re.compile(r"(?:(?<=[^\W_])|(?<=[\"”’)\]]))[.!?;](?=\s|$)")
-_BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
 _WORD = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|[^\W\d_]+|\d+(?:[.,]\d+)*|\n|[^\w\s]", re.I)
+_RUN = re.compile(r"w(?:(?: ,)? [w0])+")
+_END = re.compile(r"(?<=[.!?;]) ")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|<a\s[^>]*>|</a>|\]\([^)\s]*\)", re.I)
 _MONTH = r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|ene|abr|ago|dic)\w*\.?"
 _TABLE = re.compile(
@@ -89,71 +94,112 @@ def language(text: str, declared: str | None) -> str:
     return best if got[best] * 8 >= len(ws) else "other"
 
 
-def measure(text: str, lang: str) -> tuple[list[tuple], int]:
-    """([(characters, bytes, ratio, function words, sentence ends per word, links, phrases), ...], characters in table rows).
-
-    phrases: the share of the words that the four most frequent pairs of neighbours take.
-    """
+def skeleton(text: str, funcs: frozenset, memo: dict) -> str:
+    """The text with one sign for each class: u a link, 0 a number, w a word, W one with a capital; function words, punctuation and line ends stay."""
+    out = []
+    for t in _TOKEN.findall(text):
+        c = memo.get(t)
+        if c is None:
+            low = t.lower()
+            if low[:4] in ("http", "www.") or low[:2] == "<a":
+                c = "u"
+            elif t[0].isalpha():
+                c = low if low in funcs else "W" if t[0].isupper() else "w"
+            else:
+                c = "0" if t[0].isdigit() else t
+            if len(memo) > 200_000:
+                memo.clear()
+            memo[t] = c
+        out.append(c)
+    return " ".join(out)
+
+
+def sentences(skel: str) -> int:
+    """How many different sentences a skeleton has: runs of words are one, whatever their number and case; ends within links don't count."""
+    flat = _RUN.sub("w", skel.lower().replace("\n ", ""))
+    return len({x for x in _END.split(flat) if x[-1:] in ".!?;" and len(x) > 2 and x[-3:-2] != "u"})
+
+
+def measure(text: str, lang: str, memo: dict | None = None) -> tuple[list[tuple], int]:
+    """([(characters, bytes, compressed share, compressed skeleton's share, different sentences, words), ...] by block, characters in table rows)."""
     paras, aside = _paragraphs(text)
     funcs = FUNCTION_WORDS.get(lang) or FUNCTION_WORDS["en"] | FUNCTION_WORDS["es"]
+    memo = {} if memo is None else memo
     out = []
     for p in paras:
         n = max(1, round(len(p) / BLOCK))
         step = -(-len(p) // n)
-        for at in range(0, len(p), step):
-            b = p[at : at + step]
-            low = b.lower()
-            data = low.encode("utf-8", "replace")
-            ws = low.translate(_BLANKS).split() if low.isascii() else _WORD.findall(low)
-            links = sum(len(m) for m in _LINK.findall(b)) if "http" in low or "www." in low or "<a" in low or "](" in low else 0
-            share = sum(map(funcs.__contains__, ws)) / len(ws) if ws else 0.0
-            ends = len(_SENTENCE.findall(b)) / max(1, len(b.split()))
-            pairs = Counter(zip(ws, ws[1:])).most_common(16)
-            phrases = sum(2 * n for n in [n for (x, y), n in pairs if n > 2 and (x not in funcs or y not in funcs)][:4]) / max(len(ws), 1)
-            out.append((len(b), len(data), len(zlib.compress(data, 6)) / max(1, len(data)), share, ends, links / max(1, len(b)), min(phrases, 1.0)))
+        at = 0
+        while at < len(p):
+            to = at + step if len(p) - at > step * 4 // 3 else len(p)
+            # at a blank, if there is one near, so that no link or word is cut
+            if to < len(p) and (gap := max(p.rfind(" ", at + step // 2, to), p.rfind("\n", at + step // 2, to))) > 0:
+                to = gap + 1
+            b = p[at:to]
+            at = to
+            data = b.lower().encode("utf-8", "replace")
+            skel = skeleton(b, funcs, memo)
+            size = max(1, len(data))
+            out.append((len(b), len(data), len(zlib.compress(data, 6)) / size, len(zlib.compress(skel.encode("utf-8", "replace"), 6)) / size, sentences(skel), max(1, len(b.split()))))
     return out, aside
 
 
-def usual(n_bytes: int) -> float:
-    """The log ratio usual for a length."""
-    return math.log(min(BASE + SLOPE / max(n_bytes, 50), 1.2))
+def usual(kind: str, n_bytes: int) -> float:
+    """The log share usual for a length."""
+    base, slope, _ = CURVES[kind]
+    return math.log(min(base + slope / max(n_bytes, 50), 1.2))
+
 
+def punctuation_limit(z: float, redundant: float) -> float:
+    """Sentence ends per word below which a block's redundancy is confirmed: well under the usual 1 in 20 at the threshold, more for what is far beyond it."""
+    return min(0.02 + 0.005 * (-z - redundant), 0.08)
 
-def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) -> tuple[float, float, float]:
-    """(share of the text in stuffed or listed blocks, mean deviation of the ratio, share in prose)."""
-    total, bad, dev, weight = aside, 0.0, 0.0, 0.0
-    for chars, size, ratio, share, ends, links, phrases in blocks:
+
+def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 3.5) -> tuple[float, float, float]:
+    """(share of the text in spam blocks, mean deviation, sentence ends per word); the last two over the spam blocks, or over all if there are none.
+
+    A block's deviation is minus the length of its two shares' deviations below the norm, each in spreads of it. Blocks under LEAST bytes are spam only as skeletons
+    without any sentence, as single lines of a list are.
+    """
+    total, bad = aside, 0
+    sums = {True: [0.0, 0, 0, 0], False: [0.0, 0, 0, 0]}
+    for chars, size, ratio, skel, ends, n_words in blocks:
         total += chars
-        mid, spread = norms.get(lang) or (0.0, SPREAD)
-        z = (math.log(max(ratio, 1e-6)) - usual(size) - mid) / spread
-        if size >= 450:
-            dev += max(z, -20.0) * chars
-            weight += chars
-        # redundancy confirmed by few sentence ends, few function words or a few phrases that take the block
-        stuffed = (size >= 450 and z <= -1.5 * redundant) or (size >= 200 and (z <= -redundant and (ends < 0.035 or share < 0.2) or phrases > 0.3 and share < 0.8 * USUAL_SHARE.get(lang, 0.4)))
-        # half the usual rate of sentence ends, and hardly the words that sentences need
-        listed = (ends < 0.03 and share < 0.17) or (links > 0.3 and share < 0.25) or (chars >= 400 and ends < 0.006 and share < 0.33)
-        if (chars >= LEAST and (stuffed or listed)) or (chars >= 40 and listed and ends == 0):
-            bad += chars
-    return bad / total if total else 0.0, dev / weight if weight else 0.0, 1 - bad / total if total else 1.0
-
-
-def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redundant: float = 4.0, least_chars: int = 200) -> DataFrame:
-    """id, spam_share, deviation, is_spam of every document (repeated rows each for itself).
-
-    Null, blank and short texts (under least_chars) are never spam and have share 0. A language's norm is
-    the median and the upper half's spread of the log ratio, less the usual one of the length, over all blocks of the
-    corpus that have sentences (stuffed ones sit in the lower half); one of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: 3 rows.
+        z = 0.0
+        for kind, v in (("ratio", ratio), ("skeleton", skel)):
+            mid, spread = norms.get((lang, kind)) or (0.0, CURVES[kind][2])
+            z = math.hypot(z, min((math.log(max(v, 1e-6)) - usual(kind, size) - mid) / spread, 0.0))
+        z = max(-z, -40.0)
+        spam = z <= -redundant and ends / n_words < punctuation_limit(z, redundant) and (size >= LEAST or (size >= 40 and not ends))
+        bad += chars * spam
+        for part in (sums[spam],):
+            part[0] += z * chars
+            part[1] += chars
+            part[2] += ends
+            part[3] += n_words
+    dev, weight, ends, n_words = sums[True] if bad else sums[False]
+    return bad / total if total else 0.0, dev / weight if weight else 0.0, ends / n_words if n_words else 0.0
+
+
+def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redundant: float = 3.5, least_chars: int = 200) -> DataFrame:
+    """id, spam_share, deviation, sentence_ends, is_spam of every document (repeated rows each for itself).
+
+    spam_share: the part of the text in blocks that are redundant and confirmed by their punctuation; more than half makes a spam page.
+    deviation and sentence_ends (per word) are the two measures over these blocks, or over all if there are none.
+    Null, blank and short texts (under least_chars) are never spam and have share 0. A language's norm is the median and
+    the upper half's spread of the log share, less the usual one of the length, over all blocks of the corpus that have
+    sentences (stuffed ones sit in the lower half); one of fewer than MIN_BLOCKS blocks takes the fixed curve. Norms: 3 rows.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     id_type = dict(docs.dtypes)[id_col]
-    block = "struct<chars:int,bytes:int,ratio:double,share:double,ends:double,links:double,phrases:double>"
+    block = "struct<chars:int,bytes:int,ratio:double,skeleton:double,ends:int,words:int>"
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.list_(pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("ratio", pa.float64()), ("share", pa.float64()), ("ends", pa.float64()), ("links", pa.float64()), ("phrases", pa.float64())]))
-        names = ("chars", "bytes", "ratio", "share", "ends", "links", "phrases")
+        kind = pa.list_(pa.struct([("chars", pa.int32()), ("bytes", pa.int32()), ("ratio", pa.float64()), ("skeleton", pa.float64()), ("ends", pa.int32()), ("words", pa.int32())]))
+        names = ("chars", "bytes", "ratio", "skeleton", "ends", "words")
+        memos: dict[str, dict] = {}
         for b in batches:
             langs, aside, blocks = [], [], []
             for t, d in zip(b.column(1), b.column(2)):
@@ -162,30 +208,32 @@ def spam_scores(docs: DataFrame, id_col: str, text_col: str, lang_col: str, redu
                     got, rows, lang = 0, [], "other"
                 else:
                     lang = language(t, d.as_py())
-                    rows, got = measure(t, lang)
+                    rows, got = measure(t, lang, memos.setdefault(lang, {}))
                 langs.append(lang)
                 aside.append(got)
                 blocks.append([dict(zip(names, r)) for r in rows])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(aside, pa.int32()), pa.array(blocks, kind)], names=["id", "lang", "aside", "blocks"])
 
-    measured = src.mapInArrow(run, f"id {id_type}, lang string, aside int, blocks array<{block}>").persist()
-    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200 AND b.ends >= 0.02").select("lang", (F.log("b.ratio") - F.log(BASE + SLOPE / F.col("b.bytes"))).alias("r"))
-    norm = flat.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("r", [0.5, 0.75], 2000).alias("q")).filter(F.col("n") >= MIN_BLOCKS)
-    norms = {r["lang"]: (r["q"][0], min(max((r["q"][1] - r["q"][0]) / 0.6745, 0.03), 0.08)) for r in norm.collect()}
+    measured = keep(src.mapInArrow(run, f"id {id_type}, lang string, aside int, blocks array<{block}>"))
+    flat = measured.select("lang", F.explode("blocks").alias("b")).filter("b.bytes >= 200 AND b.ends >= 0.02 * b.words")
+    less = lambda k: F.log(f"b.{k}") - F.log(CURVES[k][0] + CURVES[k][1] / F.col("b.bytes"))
+    norm = flat.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(less(k), [0.5, 0.75], 2000).alias(k) for k in CURVES]).filter(F.col("n") >= MIN_BLOCKS)
+    norms = {}
+    for r in norm.collect():
+        for k, (_, _, usual_spread) in CURVES.items():
+            mid, upper = r[k]
+            norms[r["lang"], k] = (mid, min(max((upper - mid) / 0.6745, 0.6 * usual_spread), 1.8 * usual_spread))
 
     def score(batches):
         import pyarrow as pa
 
         for b in batches:
-            share, dev = [], []
-            for lang, aside, blocks in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
-                s, z, _ = judge([x.values() for x in blocks], aside, lang, norms, redundant)
-                share.append(s)
-                dev.append(z)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share, pa.float64()), pa.array(dev, pa.float64())], names=["id", "spam_share", "deviation"])
-
-    got = measured.mapInArrow(score, f"id {id_type}, spam_share double, deviation double")
-    return got.select(F.col("id").alias(id_col), "spam_share", "deviation", (F.col("spam_share") > 0.5).alias("is_spam"))
+            got = [judge([x.values() for x in blocks], aside, lang, norms, redundant) for lang, aside, blocks in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            share, dev, ends = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.float64()) for x in (share, dev, ends)]], names=["id", "spam_share", "deviation", "sentence_ends"])
+
+    got = measured.mapInArrow(score, f"id {id_type}, spam_share double, deviation double, sentence_ends double")
+    return got.select(F.col("id").alias(id_col), "spam_share", "deviation", "sentence_ends", (F.col("spam_share") > 0.5).alias("is_spam"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from lodestar.llm.spam import language, spam_scores
+from lodestar.llm.spam import FUNCTION_WORDS, judge, language, measure, punctuation_limit, sentences, skeleton, spam_scores
 
 WORDS = "agency council member report gift value official decision interest property income committee meeting contract source city county manager letter question analysis facts board term".split()
 
@@ -37,9 +37,26 @@ def test_kinds(spark):
     assert len(got) == len(rows)
     assert {r["doc_id"] for r in got if r["is_spam"]} == {*bad, None}
     assert all(r["spam_share"] == 0 for r in got if r["doc_id"] in ("short", "blank", "empty", "null"))
+    # what is found passes both tests of the method
+    assert all(r["deviation"] <= -3.5 and r["sentence_ends"] < punctuation_limit(r["deviation"], 3.5) for r in got if r["is_spam"])
     assert spam_scores(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
+def test_nothing_is_spam_without_compression():
+    text = "\n".join(f"http://site{k}.example/page" for k in range(60))
+    blocks, aside = measure(text, "en")
+    assert judge(blocks, aside, "en", {})[0] > 0.9
+    # the same blocks with the shares that prose has: no sentence end, yet no spam
+    assert judge([(c, n, 0.55, 0.2, e, w) for c, n, _, _, e, w in blocks], aside, "en", {})[0] == 0
+
+
+def test_skeletons():
+    en = FUNCTION_WORDS["en"]
+    assert skeleton("See https://a.example/x?id=5 and the Board, 12.5 of it.", en, {}) == "W u and the W , 0 of it ."
+    one = skeleton("Need gift lawyer in Dale? Ask the lawyer. Need tax lawyer in West End? Ask the tax lawyer.", en, {})
+    assert sentences(one) == 2 and sentences(skeleton("http://a.example/x.html. http://b.example/y. ", en, {})) == 0
+
+
 def test_language_of_the_whole_text():
     en, es = "The gift of the council is in the report and may be of that member. ", "El regalo de la ciudad es para los que no han sido parte de una reunion con el. "
     text = en * 60 + es * 400 + en * 30
