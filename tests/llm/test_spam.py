@@ -38,7 +38,7 @@ def test_kinds(spark):
     assert {r["doc_id"] for r in got if r["is_spam"]} == {*bad, None}
     assert all(r["spam_share"] == 0 for r in got if r["doc_id"] in ("short", "blank", "empty", "null"))
     # what is found passes both tests of the method
-    assert all(r["deviation"] <= -3.5 and r["sentence_ends"] < punctuation_limit(r["deviation"], 3.5) for r in got if r["is_spam"])
+    assert all(r["deviation"] <= -4 and r["sentence_ends"] < punctuation_limit(r["deviation"], 4) for r in got if r["is_spam"])
     assert spam_scores(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
