@@ -26,6 +26,8 @@ def _queries() -> dict:
         "p1_rejoined": splitting.p1_rejoined,
         "p2_found": overlap.p2_found,
         "p2_report": overlap.p2_report,
+        "p2_coverage": overlap.p2_coverage,
+        "p2_opinions": overlap.p2_opinions,
         "p3_found": setjoin.p3_found,
         "p4_found": leakage.p4_found,
         "p4_leaks": leakage.p4_leaks,
@@ -42,4 +44,4 @@ def _queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**splitting.SQL, **setjoin.SQL, **topn.SQL}
+    return {**splitting.SQL, **overlap.SQL, **setjoin.SQL, **topn.SQL}

@@ -74,6 +74,31 @@ def release() -> None:
             continue
 
 
+SMALL = 200_000  # rows of keys that may go to all tasks
+HOT = 100_000  # members of a class in one task
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The table kept, marked for broadcast if it has at most SMALL rows; else as it is, for a shuffled join."""
+    df = keep(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def join_members(links: DataFrame, members: DataFrame, on: list[str], id_col: str) -> DataFrame:
+    """links joined with the members of their classes.
+
+    Few links go to all tasks and no member is shuffled. Otherwise the members of a class above HOT are spread by salts of their ids, to
+    each of which the class's links go; there are at most rows / HOT such classes.
+    """
+    links = keep(links)
+    if links.count() <= SMALL:
+        return F.broadcast(links).join(members, on)
+    hot = small(members.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT).select(*on, (F.col("_n") / HOT + 1).cast("long").alias("_n")))
+    salted = members.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(id_col), F.coalesce("_n", F.lit(1).cast("long")))).drop("_n")
+    spread = links.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_n", F.lit(1).cast("long")) - 1))).drop("_n")
+    return spread.join(salted, [*on, "_salt"]).drop("_salt")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

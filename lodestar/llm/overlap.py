@@ -1,27 +1,28 @@
 """The same or nearly the same records across splits, by Aho-Corasick automata over evaluation passages.
 
 An evaluation question is cut into a few more passages than words of it may be changed, so that some stand unaltered in
-any near copy. They go into automata, sharded by their first two words (the commonest are not needed), and every
-training question is sent to the shards of its own word pairs. Matched places are merged into coverage per evaluation record, and what is covered enough is compared word
-by word. Opinion numbers are passages of their own: a whole normalised number.
+any near copy; the commonest needn't be sought. Every passage goes to one shard only, that of its rarest run of GRAM
+words, and a training question to the shards of its own runs that are such anchors; so neither side is copied as the data
+grow. A run that very many texts or passages share is a shard of its own, split further on both sides. In a shard an
+automaton over the passages scans the texts. Where one stands, the matched places of the whole evaluation question are
+merged into its coverage; what is covered enough is compared word by word.
+Opinion numbers are whole keys and are joined by equality.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold_word, shuffle_width, words
+from lodestar.llm.common import fold_word, join_members, keep, shuffle_width, small, words
 from lodestar.llm.scan import page_breaks
 
-SHARD_PASSAGES = 200_000  # passages of one automaton
+SHARD_PASSAGES = 100_000  # passages of one automaton
 GROUP_TEXTS = 20_000  # training texts that one task scans with one automaton
 PASSAGE = 3
-LEAST_COVERED = 6  # letters of matched passages, for a comparison
-NUMBER = "#"  # marks an opinion number among the texts
+LEAST_COVERAGE = 0.6  # of the evaluation question's words, for a comparison
 _JOIN = re.compile(r"[-‐‑¬\xad–][ \t]*(?:\r?\n|\f)\s*")
 # --- fixed values: labels in front of a question --------------------------------------
 _LABEL = re.compile(r"^\W*(?:(?:(?:issue|question|questions|short question|query|q)(?:\s+(?:presented|no\.?\s*\d+|\d+|one))?|re|\(?\d{1,2}\)?)\s*[:.)—–-]+\s*)+", re.I)
@@ -47,60 +48,76 @@ def opinion_key(col):
     """
     flat = F.upper(F.regexp_replace(col, r"[^\p{L}\p{N}|]", ""))
     key = F.concat(F.translate(F.substring(flat, 1, 1), "OLI|", "0111"), F.translate(F.substring(flat, 2, 1000), "OLI|SB", "011158"))
-    return F.when(F.length(flat) > 0, F.concat(F.lit(NUMBER), key))
+    return F.when(F.length(flat) > 0, key)
+
+
+def _regrouped(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int] | None:
+    """Where the words from a[i] and from b[j] have spelt the same letters first, if they do."""
+    x, y = a[i], b[j]
+    i, j = i + 1, j + 1
+    while len(x) != len(y):
+        if len(x) < len(y):
+            if not y.startswith(x) or i == len(a):
+                return None
+            x += a[i]
+            i += 1
+        else:
+            if not x.startswith(y) or j == len(b):
+                return None
+            y += b[j]
+            j += 1
+    return (i, j) if x == y else None
 
 
 def within(a: list[str], b: list[str], most: int) -> bool:
-    """Whether at most `most` words are changed, left out or added between the lists (transposed neighbours count once)."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    inf = most + 1
-    prev2, prev = None, [j if j <= most else inf for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        lo, hi = max(1, i - most), min(len(b), i + most)
-        row = [inf] * (len(b) + 1)
-        if i <= most:
-            row[0] = i
-        for j in range(lo, hi + 1):
-            y = b[j - 1]
-            d = prev[j - 1] + (x != y)
-            if prev[j] + 1 < d:
-                d = prev[j] + 1
-            if row[j - 1] + 1 < d:
-                d = row[j - 1] + 1
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and prev2[j - 2] + 1 < d:
-                d = prev2[j - 2] + 1
-            row[j] = d if d < inf else inf
-        if min(row[lo : hi + 1], default=inf) > most and row[0] > most:
-            return False
-        prev2, prev = prev, row
-    return prev[len(b)] <= most
+    """Whether at most `most` words are changed, left out or added between the lists.
+
+    Transposed neighbours count once, words broken or run together not at all. Exact at any length: all places that can be
+    reached with each number of changes, equal words being passed at once.
+    """
+    n, m = len(a), len(b)
+    seen: set[tuple[int, int]] = set()
+    level = [(0, 0)]
+    for cost in range(most + 1):
+        following = []
+        while level:
+            i, j = level.pop()
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            if i == n and j == m:
+                return True
+            if (i, j) in seen or max(n - i, m - j) == 0:
+                continue
+            seen.add((i, j))
+            if i < n and j < m:
+                to = _regrouped(a, b, i, j)
+                if to:
+                    level.append(to)
+                following.append((i + 1, j + 1))
+                if i + 1 < n and j + 1 < m and a[i] == b[j + 1] and a[i + 1] == b[j]:
+                    following.append((i + 2, j + 2))
+            if i < n:
+                following.append((i + 1, j))
+            if j < m:
+                following.append((i, j + 1))
+        level = following
+    return False
+
+
+def coverage(a: list[str], b: list[str]) -> float:
+    """The share of the words of a in places that b matches: runs of two words or more, merged."""
+    pairs = set(zip(b, b[1:]))
+    covered, upto = 0, 0
+    for i, pair in enumerate(zip(a, a[1:])):
+        if pair in pairs:
+            covered += i + 2 - max(i, upto)
+            upto = i + 2
+    return covered / len(a)
 
 
 def alike(a: list[str], b: list[str], share: float) -> bool:
-    """Almost the same: within the changed words allowed, or the same letters but for a like share (broken words)."""
-    n = min(len(a), len(b))
-    most = n_changed(max(len(a), len(b)), share)
-    if abs(len(a) - len(b)) > most + 3 or len(set(a) & set(b)) < 0.6 * len(set(a)) - 1:
-        return False
-    if n and within(a, b, most):
-        return True
-    # words broken or run together by a scanner count several times above; compare what is left as letters
-    i = 0
-    while i < n and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < n - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    x, y = "".join(a[i : len(a) - j]), "".join(b[i : len(b) - j])
-    if len(x) > 4000:
-        return False
-    import difflib
-
-    m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-    same = sum(k.size for k in m.get_matching_blocks() if k.size >= 4)
-    total = max(sum(map(len, a)), sum(map(len, b)))
-    return max(len(x), len(y)) - same <= 0.75 * share * total
+    """Almost the same: at most `share` of the words changed, however they are spaced."""
+    return within(a, b, n_changed(max(len(a), len(b)), share))
 
 
 def distinct_questions(df: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +136,7 @@ def distinct_questions(df: DataFrame, id_col: str, text_col: str, least: int) ->
                     keys.append(" ".join(ws))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["id", "q"])
 
-    members = src.mapInArrow(run, "id long, q string").persist()
+    members = keep(src.mapInArrow(run, "id long, q string"))
     return members.select("q").distinct(), members
 
 
@@ -151,53 +168,50 @@ def _strings(df: DataFrame, f, names: str):
     return df.select("q").mapInArrow(run, names)
 
 
-def rare_passages(eval_q: DataFrame, train_q: DataFrame, share: float, spare: int) -> DataFrame:
-    """q, p: the passages of each evaluation question that the automata seek.
+def grams(text, n: int):
+    """Hashes of the different runs of n words of a text of words."""
+    ws = F.split(text, " ")
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, n)))))
 
-    At most as many passages as words may be changed are altered in a near copy, and one more by a scanner; the i others
-    stand unaltered. So of all but the i - 1 commonest passages one does, and those commonest are not sought. How common a
-    passage is, is counted over all training questions; one that occurs in none can't match and only counts.
-    """
-    each = _strings(eval_q, lambda q: [(q, p, len(p.split(" "))) for p in passages(q.split(" "), share, spare)], "q string, p string, words long").persist()
-    lengths = sorted(r[0] for r in each.select("words").distinct().collect())
 
-    def grams(q: str):
-        ws = q.split(" ")
-        return {(" ".join(ws[i : i + n]),) for n in lengths for i in range(len(ws) - n + 1)}
+def anchored_passages(eval_q: DataFrame, hits: DataFrame, each: DataFrame, share: float) -> DataFrame:
+    """q, p, g: the passages of each evaluation question that are sought, with the rarest of their runs of words.
 
-    seen = _strings(train_q, grams, "p string").join(each.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.count("*").alias("n"))
-    ranked = each.join(seen, "p", "left").groupBy("q").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p"))).alias("ps"))
+    At most as many passages as words may be changed are altered in a near copy, and one more by a scanner; the i others
+    stand unaltered. So of all but i - 1 passages one does, and the i - 1 commonest, by their rarest run, are not sought. How
+    common a run is, is counted over all training questions; a passage with a run that occurs in none can't match.
+    """
+    n = hits.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = each.join(n, "g", "left").groupBy("q", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+    ranked = rarest.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r.n", "r.g", "p"))).alias("ps"))
     changed = F.greatest(F.floor(F.size(F.split("q", " ")) * share), F.lit(1))
-    # at least this many stand unaltered, hence one of all but (that many - 1) does
     intact = F.greatest(F.size("ps") - changed - 1, F.lit(1))
-    return ranked.select("q", F.explode(F.slice("ps", F.lit(1), (F.size("ps") - intact + 1).cast("int"))).alias("x")).filter("x.n > 0").select("q", "x.p")
-
-
-def scan_texts(sought: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """e, t: evaluation record and training text whose matched coverage and comparison make them the same or almost.
-
-    sought: q (an evaluation record's text), p (a passage of it); texts: q, distinct. Automata hold SHARD_PASSAGES
-    passages at most on average; with more than one shard a text goes to the shards of its own word pairs only, so the work stays
-    in proportion to the texts however many shards there are. A shard's texts are split further by a salt.
-    """
-    spark = sought.sparkSession
-    sought = sought.persist()
-    n_passages, n_texts = sought.count(), texts.count()
-    shards = max(1, -(-n_passages // SHARD_PASSAGES))
-    zero = F.lit(0).cast("long")
-
-    def routes(q: str):
-        ws = q.split(" ")
-        return [(q, k) for k in {zlib.crc32(" ".join(ws[i : i + 2]).encode()) % shards for i in range(max(len(ws) - 1, 1))}]
-
-    sent = _strings(texts, routes, "q string, shard long") if shards > 1 else texts.select("q", zero.alias("shard"))
-    # at most some 40 word pairs a text, hence shards a text
-    per_shard = n_texts * min(shards, 40) // shards
-    salts = max(per_shard // GROUP_TEXTS + 1, min(shuffle_width(spark), per_shard // 500 + 1))
-    sent = sent.withColumn("salt", F.pmod(F.xxhash64("q", F.lit(7)), F.lit(salts)))
-    # an evaluation record travels once to each of its shards' groups, with its passages there
-    mine = F.pmod(F.crc32(F.substring_index("p", " ", 2).cast("binary")), F.lit(shards)) if shards > 1 else zero
-    machines = sought.groupBy(mine.alias("shard"), "q").agg(F.collect_set("p").alias("ps")).withColumn("salt", F.explode(F.sequence(zero, F.lit(salts - 1).cast("long"))))
+    return ranked.select("q", F.explode(F.slice("ps", F.lit(1), (F.size("ps") - intact + 1).cast("int"))).alias("x")).filter("x.n > 0").select("q", "x.p", "x.g", "x.n")
+
+
+def question_links(eval_q: DataFrame, train_q: DataFrame, share: float, spare: int, least: int) -> DataFrame:
+    """e, t, coverage of the evaluation and training texts (q, distinct) that are the same or almost; e and t as md5."""
+    spark = eval_q.sparkSession
+    size = max(1, min(PASSAGE, least // (n_changed(least, share) + 1)))
+    each = keep(_strings(eval_q, lambda q: [(q, p) for p in passages(q.split(" "), share, spare)], "q string, p string").select("q", "p", F.explode(grams("p", size)).alias("g")))
+    hits = keep(train_q.select(F.xxhash64("q").alias("th"), F.explode(grams("q", size)).alias("g")).join(small(each.select("g").distinct()), "g", "left_semi"))
+    sought = keep(anchored_passages(eval_q, hits, each, share))
+    anchors = keep(sought.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("m")))
+    total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    shards = max(total["n"] // GROUP_TEXTS, total["m"] // SHARD_PASSAGES, min(shuffle_width(spark), total["n"] // 500)) + 1
+    # a run above either bound is a shard of its own, in blocks of texts times blocks of passages
+    own = (F.col("n") > GROUP_TEXTS) | (F.col("m") > SHARD_PASSAGES)
+    place = anchors.select(
+        "g", F.when(own, F.col("g")).otherwise(F.pmod(F.xxhash64("g", F.lit(3)), F.lit(shards))).alias("shard"),
+        F.when(own, F.col("n") / GROUP_TEXTS + 1).otherwise(1).cast("int").alias("n_texts"), F.when(own, F.col("m") / SHARD_PASSAGES + 1).otherwise(1).cast("int").alias("n_passages"),
+    )
+    place = small(place)
+    salt = lambda h, n: F.pmod(h, F.col(n).cast("long")).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    routes = hits.join(place, "g").select("th", "shard", salt(F.xxhash64("th", F.lit(7)), "n_texts").alias("st"), all_of("n_passages").alias("sp"))
+    sent = routes.groupBy("th").agg(F.collect_set(F.struct("shard", "st", "sp")).alias("to")).join(train_q.select(F.xxhash64("q").alias("th"), "q"), "th").select("q", F.explode("to").alias("x")).select("q", "x.*")
+    machines = sought.join(place, "g").select("q", "p", "shard", salt(F.xxhash64("q", "p"), "n_passages").alias("sp"), all_of("n_texts").alias("st"))
+    machines = machines.groupBy("shard", "st", "sp", "q").agg(F.collect_set("p").alias("ps"))
 
     def scan(left, right):
         import ahocorasick
@@ -208,73 +222,119 @@ def scan_texts(sought: DataFrame, texts: DataFrame, share: float) -> DataFrame:
             for p in ps:
                 owners.setdefault(p, []).append(q)
         for p, qs in owners.items():
-            machine.add_word(f" {p} ", (len(p) + 1, qs))
-        out_e, out_t = [], []
+            machine.add_word(f" {p} ", qs)
+        found: list[tuple[str, str, float]] = []
         if len(machine):
             machine.make_automaton()
             split: dict[str, list[str]] = {}
             for t in right["q"]:
-                spans: dict[str, list[tuple[int, int]]] = {}
-                for end, (size, qs) in machine.iter(f" {t} "):
-                    for q in qs:
-                        spans.setdefault(q, []).append((end - size, end))
-                for q, at in spans.items():
+                ts = None
+                for q in {q for _, qs in machine.iter(f" {t} ") for q in qs}:
                     if q == t:
-                        same = True
-                    elif t[0] == NUMBER:
-                        same = False
-                    else:
-                        # matched places merged into what they cover
-                        at.sort()
-                        covered, upto = 0, -1
-                        for a, b in at:
-                            covered += max(0, b - max(a, upto))
-                            upto = max(upto, b)
-                        qw = split.get(q)
-                        if qw is None:
-                            qw = split[q] = q.split(" ")
-                        same = covered >= LEAST_COVERED and alike(qw, t.split(" "), share)
-                    if same:
-                        out_e.append(q)
-                        out_t.append(t)
-        return pd.DataFrame({"e": out_e, "t": out_t}, dtype="str")
-
-    return machines.groupBy("shard", "salt").cogroup(sent.groupBy("shard", "salt")).applyInPandas(scan, "e string, t string").distinct()
-
-
-def split_overlaps(pairs: DataFrame, negatives: DataFrame | None, share: float = 0.125, least: int = 8, spare: int = 2) -> DataFrame:
-    """eval_id, train_id, reason (opinion, question or negative) of all overlaps; a pair with two reasons has two rows.
-
+                        found.append((q, t, 1.0))
+                        continue
+                    qs = split.get(q)
+                    if qs is None:
+                        qs = split[q] = q.split(" ")
+                    ts = ts or t.split(" ")
+                    covered = coverage(qs, ts)
+                    if covered >= LEAST_COVERAGE and alike(qs, ts, share):
+                        found.append((q, t, covered))
+        return pd.DataFrame(found, columns=["e", "t", "coverage"]).astype({"e": "str", "t": "str", "coverage": "float64"})
+
+    got = machines.groupBy("shard", "st", "sp").cogroup(sent.groupBy("shard", "st", "sp")).applyInPandas(scan, "e string, t string, coverage double")
+    # a pair may meet in several shards
+    return got.select(F.md5("e").alias("e"), F.md5("t").alias("t"), "coverage").groupBy("e", "t").agg(F.max("coverage").alias("coverage"))
+
+
+def opinion_members(pairs: DataFrame, negatives: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(id, key of the evaluation rows; id, key, reason of the training records whose opinion an evaluation row has)."""
+    number = lambda df, c: df.select(F.col(c).cast("long").alias("id"), opinion_key(F.col("opinion_id")).alias("c")).filter("id IS NOT NULL AND c IS NOT NULL").distinct()
+    ev = number(pairs.filter(F.col("split").isin("val", "test")), "pair_id")
+    seen = small(ev.select("c").distinct())
+    mine = lambda df, c, why: number(df, c).join(seen, "c", "left_semi").withColumn("reason", F.lit(why))
+    tr = mine(pairs.filter(F.col("split") == "train"), "pair_id", "opinion")
+    return ev, tr if negatives is None else tr.unionByName(mine(negatives, "neg_id", "negative"))
+
+
+def split_overlaps(pairs: DataFrame, negatives: DataFrame | None, share: float = 0.125, least: int = 8, spare: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, eval_members, train_members) of all overlaps; nothing is expanded (see expanded()).
+
+    links: e, t, reason (opinion, question or negative), coverage (share of the evaluation question's words that the
+    training one matches; 1 for opinions). eval_members: id, e; train_members: id, t, reason: the rows of each class of equal texts or
+    numbers, a class being the md5 of a question's words or an opinion's key.
     pairs: pair_id, opinion_id, question, split_name; rows of val and test are evaluation rows, those of train training
     rows, others (null splits too) neither. negatives: neg_id, opinion_id. Null, empty or blank opinion numbers and
     questions under `least` words identify nothing; repeated rows count once. Empty tables give no rows.
     """
+    if not 0 < share <= 0.25:
+        raise ValueError("share must be above 0 and at most 1/4")
     p = pairs.select("pair_id", "opinion_id", "question", F.lower(F.trim("split_name")).alias("split"))
-    ev, tr = p.filter(F.col("split").isin("val", "test")), p.filter(F.col("split") == "train")
-    number = lambda df, c: df.select(F.col(c).cast("long").alias("id"), opinion_key(F.col("opinion_id")).alias("q")).filter("id IS NOT NULL AND q IS NOT NULL")
-    e_n, t_n = number(ev, "pair_id"), number(tr, "pair_id").withColumn("reason", F.lit("opinion"))
-    if negatives is not None:
-        t_n = t_n.unionByName(number(negatives, "neg_id").withColumn("reason", F.lit("negative")))
-    e_q, e_rows = distinct_questions(ev, "pair_id", "question", least)
-    t_q, t_rows = distinct_questions(tr, "pair_id", "question", least)
-    e_q, t_q = e_q.persist(), t_q.persist()
-    sought = rare_passages(e_q, t_q, share, spare).unionByName(e_n.select("q", F.col("q").alias("p")).distinct())
-    near = scan_texts(sought, t_q.unionByName(t_n.select("q").distinct()), share).persist()
-    e_all = e_rows.unionByName(e_n).select(F.col("id").alias("eval_id"), F.col("q").alias("e"))
-    t_all = t_rows.withColumn("reason", F.lit("question")).unionByName(t_n).select(F.col("id").alias("train_id"), F.col("q").alias("t"), "reason")
-    return near.join(e_all, "e").join(t_all, "t").select("eval_id", "train_id", "reason").distinct()
-
-
-def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e_n, t_n = opinion_members(p, negatives)
+    t_n = keep(t_n)
+    e_q, e_rows = distinct_questions(p.filter(F.col("split").isin("val", "test")), "pair_id", "question", least)
+    t_q, t_rows = distinct_questions(p.filter(F.col("split") == "train"), "pair_id", "question", least)
+    asked = question_links(keep(e_q), keep(t_q), share, spare, least).select("e", "t", F.lit("question").alias("reason"), "coverage")
+    links = keep(asked.unionByName(t_n.select("c", "reason").distinct().select(F.col("c").alias("e"), F.col("c").alias("t"), "reason", F.lit(1.0).alias("coverage"))))
+    eval_members = e_n.select("id", F.col("c").alias("e")).unionByName(e_rows.select("id", F.md5("q").alias("e")).distinct())
+    train_members = t_n.select("id", F.col("c").alias("t"), "reason").unionByName(t_rows.select("id", F.md5("q").alias("t"), F.lit("question").alias("reason")).distinct())
+    return links, eval_members, train_members
+
+
+def expanded(links: DataFrame, eval_members: DataFrame, train_members: DataFrame) -> DataFrame:
+    """eval_id, train_id, reason, coverage of every pair of rows; one with two reasons has two rows. Large classes are spread by salts."""
+    x = join_members(links, eval_members.withColumnRenamed("id", "eval_id"), ["e"], "eval_id")
+    return join_members(x, train_members.withColumnRenamed("id", "train_id"), ["t", "reason"], "train_id").select("eval_id", "train_id", "reason", "coverage")
+
+
+def coverage_report(links: DataFrame, eval_members: DataFrame, train_members: DataFrame) -> DataFrame:
+    """eval_id, coverage (the best of its questions' links, 0 without one), opinions, questions, negatives: the training records each evaluation row overlaps.
+
+    Counted by class sizes; no pair of rows is made.
+    """
+    sizes = train_members.groupBy("t", "reason").agg(F.count("*").alias("n"))
+    per = links.join(sizes, ["t", "reason"]).groupBy("e").agg(
+        F.max(F.when(F.col("reason") == "question", F.col("coverage"))).alias("coverage"), *[F.sum(F.when(F.col("reason") == r, F.col("n")).otherwise(0)).alias(f"{r}s") for r in ("opinion", "question", "negative")]
+    )
+    rows = join_members(per, eval_members.withColumnRenamed("id", "eval_id"), ["e"], "eval_id")
+    return rows.groupBy("eval_id").agg(F.coalesce(F.max("coverage"), F.lit(0.0)).alias("coverage"), *[F.sum(f"{r}s").alias(f"{r}s") for r in ("opinion", "question", "negative")])
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return split_overlaps(spark.read.parquet(f"{sf_dir}/pairs.parquet"), spark.read.parquet(f"{sf_dir}/neg_records.parquet"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).select(F.least("eval_id", "train_id").alias("rec_a"), F.greatest("eval_id", "train_id").alias("rec_b")).distinct()
+    return expanded(*_run(spark, sf_dir)).select(F.least("eval_id", "train_id").alias("rec_a"), F.greatest("eval_id", "train_id").alias("rec_b")).distinct()
 
 
-def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlaps per split and source: evaluation rows with any, and pairs."""
+def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlapping evaluation row with its split, source, coverage and counterparts by reason."""
     rows = spark.read.parquet(f"{sf_dir}/pairs.parquet").select(F.col("pair_id").alias("eval_id"), F.col("split_name").alias("split"), F.coalesce(F.col("question_source"), F.lit("")).alias("source"))
-    got = _run(spark, sf_dir).join(rows, "eval_id")
-    return got.groupBy("split", "source", "reason").agg(F.countDistinct("eval_id").alias("eval_rows"), F.count("*").alias("pairs"))
+    return coverage_report(*_run(spark, sf_dir)).join(rows, "eval_id").withColumn("coverage", F.round("coverage", 6))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split, source and reason: evaluation rows with any, pairs of rows, mean coverage of the questions."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.col(f"{r}s").alias("n")) for r in ("opinion", "question", "negative")])).alias("x")
+    x = p2_coverage(spark, sf_dir).select("split", "source", "coverage", each).filter("x.n > 0")
+    return x.groupBy("split", "source", "x.reason").agg(F.count("*").alias("eval_rows"), F.sum("x.n").alias("pairs"), F.round(F.avg("coverage"), 6).alias("coverage"))
+
+
+def p2_opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that share an opinion number, with the reason: a training row or a negative."""
+    pairs = spark.read.parquet(f"{sf_dir}/pairs.parquet").select("pair_id", "opinion_id", F.lower(F.trim("split_name")).alias("split"))
+    ev, tr = opinion_members(pairs, spark.read.parquet(f"{sf_dir}/neg_records.parquet"))
+    got = join_members(ev.withColumnRenamed("id", "eval_id"), tr, ["c"], "id")
+    return got.select(F.least("eval_id", "id").alias("rec_a"), F.greatest("eval_id", "id").alias("rec_b"), "reason").distinct()
+
+
+_KEY = "translate(substr(f, 1, 1), 'OLI|', '0111') || translate(substr(f, 2), 'OLI|SB', '011158')"
+_FLAT = r"upper(regexp_replace(opinion_id, '[^\p{L}\p{N}|]', '', 'g'))"
+SQL = {
+    "p2_opinions": f"""
+WITH p AS (SELECT id, split, {_KEY} AS c FROM (SELECT pair_id AS id, lower(trim(split_name)) AS split, {_FLAT} AS f FROM pairs) WHERE f <> ''),
+n AS (SELECT DISTINCT id, {_KEY} AS c FROM (SELECT neg_id AS id, {_FLAT} AS f FROM neg_records) WHERE f <> '')
+SELECT DISTINCT least(e.id, t.id) AS rec_a, greatest(e.id, t.id) AS rec_b, 'opinion' AS reason FROM p e JOIN p t USING (c) WHERE e.split IN ('val', 'test') AND t.split = 'train'
+UNION ALL SELECT DISTINCT least(e.id, n.id), greatest(e.id, n.id), 'negative' FROM p e JOIN n USING (c) WHERE e.split IN ('val', 'test')""",
+}
