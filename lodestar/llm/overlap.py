@@ -1,9 +1,9 @@
 """The same or nearly the same records across splits, by Aho-Corasick automata over evaluation passages.
 
-An evaluation question is cut into a few more passages than words of it may be changed, so that some stand unaltered in
-any near copy; the commonest needn't be sought. Every passage goes to one shard only, that of its rarest run of GRAM
-words, and a training question to the shards of its own runs that are such anchors; so neither side is copied as the data
-grow. A run that very many texts or passages share is a shard of its own, split further on both sides. In a shard an
+An evaluation question is cut into more passages than words of it may be changed, so that some stand unaltered in any
+near copy. The cuts are placed such that every passage has a run of PASSAGE words as rare as can be; the commonest passage
+needn't be sought. Every passage goes to one shard only, that of its rarest run, and a training question to the shards of its
+own runs that are such anchors; so neither side is copied as the data grow. A run that very many texts or passages share is a shard of its own, split further on both sides. In a shard an
 automaton over the passages scans the texts. Where one stands, the matched places of the whole evaluation question are
 merged into its coverage; what is covered enough is compared word by word.
 Opinion numbers are whole keys and are joined by equality.
@@ -21,7 +21,7 @@ from lodestar.llm.scan import page_breaks
 
 SHARD_PASSAGES = 100_000  # passages of one automaton
 GROUP_TEXTS = 20_000  # training texts that one task scans with one automaton
-PASSAGE = 3
+PASSAGE = 4  # words of a run that anchors a passage, hence of the shortest passage
 LEAST_COVERAGE = 0.6  # of the evaluation question's words, for a comparison
 _JOIN = re.compile(r"[-‐‑¬\xad–][ \t]*(?:\r?\n|\f)\s*")
 # --- fixed values: labels in front of a question --------------------------------------
@@ -144,58 +144,79 @@ def n_changed(n: int, share: float) -> int:
     return max(1, int(n * share))
 
 
-def passages(ws: list[str], share: float = 0.125, spare: int = 2) -> list[str]:
-    """The question cut into equal runs of words: one more than may be changed and `spare` more, if they keep PASSAGE words."""
-    k = n_changed(len(ws), share) + 1
-    k = min(max(k, min(k + spare, len(ws) // PASSAGE)), len(ws))
-    cut = [round(i * len(ws) / k) for i in range(k + 1)]
-    return [" ".join(ws[a:b]) for a, b in zip(cut, cut[1:])]
+def cut_passages(counts: list[int], words_: int, k: int, size: int) -> list[tuple[int, int, int]]:
+    """(begin, end, place of the rarest run) of at least k passages, cut such that the commonest of their rarest runs is as rare as can be.
 
+    counts: how many texts have the run of `size` words from each word on. Fewer than k only where the words don't suffice.
+    """
 
-def _strings(df: DataFrame, f, names: str):
-    """Rows (strings and longs) that f yields of each text of column q, as one narrow pass."""
+    def cut(most):
+        out, begin, i = [], 0, 0
+        while i < len(counts):
+            if counts[i] <= most:
+                out.append((begin, i + size))
+                begin = i = i + size
+            else:
+                i += 1
+        if out:
+            out[-1] = (out[-1][0], words_)
+        return out
+
+    levels = sorted(set(counts))
+    lo, hi = 0, len(levels) - 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if len(cut(levels[mid])) >= k:
+            hi = mid
+        else:
+            lo = mid + 1
+    return [(b, e, min(range(b, max(min(e - size, len(counts) - 1), b) + 1), key=counts.__getitem__)) for b, e in cut(levels[lo])]
 
-    def run(batches):
-        import pyarrow as pa
 
-        kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in names.split(", ")]
-        heads = [x.split()[0] for x in names.split(", ")]
-        for b in batches:
-            rows = [r for q in b.column(0).to_pylist() for r in f(q)]
-            cols = list(zip(*rows)) or [()] * len(heads)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=heads)
+def sought_passages(q: str, counts: list[int], share: float, spare: int, size: int) -> list[tuple[str, int]]:
+    """(passage, place of its anchor) of those passages of which one stands in any near copy.
 
-    return df.select("q").mapInArrow(run, names)
+    Changed words alter a passage each, and a scanner `spare` more; so the rarest of that many and one more are sought. A passage
+    whose anchor no text has can't match.
+    """
+    ws = q.split(" ")
+    altered = n_changed(len(ws), share) + spare
+    cut = sorted(cut_passages(counts, len(ws), min(altered + 1, max(len(ws) // size, 1)), size), key=lambda x: counts[x[2]])
+    return [(" ".join(ws[b:e]), at) for b, e, at in cut[: altered + 1] if counts[at]]
 
 
 def grams(text, n: int):
-    """Hashes of the different runs of n words of a text of words."""
+    """Hashes of the runs of n words of a text of words, in order."""
     ws = F.split(text, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, n)))))
-
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(ws, i, n))))
 
-def anchored_passages(eval_q: DataFrame, hits: DataFrame, each: DataFrame, share: float) -> DataFrame:
-    """q, p, g: the passages of each evaluation question that are sought, with the rarest of their runs of words.
 
-    At most as many passages as words may be changed are altered in a near copy, and one more by a scanner; the i others
-    stand unaltered. So of all but i - 1 passages one does, and the i - 1 commonest, by their rarest run, are not sought. How
-    common a run is, is counted over all training questions; a passage with a run that occurs in none can't match.
-    """
+def anchored_passages(eval_q: DataFrame, hits: DataFrame, share: float, spare: int, size: int) -> DataFrame:
+    """q, p, g, n: the passages of each evaluation question that are sought, their rarest run of words and how many texts have it."""
     n = hits.groupBy("g").agg(F.count("*").alias("n"))
-    rarest = each.join(n, "g", "left").groupBy("q", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
-    ranked = rarest.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r.n", "r.g", "p"))).alias("ps"))
-    changed = F.greatest(F.floor(F.size(F.split("q", " ")) * share), F.lit(1))
-    intact = F.greatest(F.size("ps") - changed - 1, F.lit(1))
-    return ranked.select("q", F.explode(F.slice("ps", F.lit(1), (F.size("ps") - intact + 1).cast("int"))).alias("x")).filter("x.n > 0").select("q", "x.p", "x.g", "x.n")
+    runs = eval_q.select("q", F.posexplode(grams("q", size)).alias("i", "g")).join(n, "g", "left")
+    runs = runs.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("runs"))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for q, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows += [(q, p, runs[at]["g"], runs[at]["n"]) for p, at in sought_passages(q, [r["n"] for r in runs], share, spare, size)]
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["q", "p", "g", "n"])
+
+    return runs.mapInArrow(cut, "q string, p string, g long, n long")
 
 
 def question_links(eval_q: DataFrame, train_q: DataFrame, share: float, spare: int, least: int) -> DataFrame:
     """e, t, coverage of the evaluation and training texts (q, distinct) that are the same or almost; e and t as md5."""
     spark = eval_q.sparkSession
     size = max(1, min(PASSAGE, least // (n_changed(least, share) + 1)))
-    each = keep(_strings(eval_q, lambda q: [(q, p) for p in passages(q.split(" "), share, spare)], "q string, p string").select("q", "p", F.explode(grams("p", size)).alias("g")))
-    hits = keep(train_q.select(F.xxhash64("q").alias("th"), F.explode(grams("q", size)).alias("g")).join(small(each.select("g").distinct()), "g", "left_semi"))
-    sought = keep(anchored_passages(eval_q, hits, each, share))
+    asked = small(eval_q.select(F.explode(grams("q", size)).alias("g")).distinct())
+    hits = keep(train_q.select(F.xxhash64("q").alias("th"), F.explode(F.array_distinct(grams("q", size))).alias("g")).join(asked, "g", "left_semi"))
+    sought = keep(anchored_passages(eval_q, hits, share, spare, size))
     anchors = keep(sought.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("m")))
     total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     shards = max(total["n"] // GROUP_TEXTS, total["m"] // SHARD_PASSAGES, min(shuffle_width(spark), total["n"] // 500)) + 1
@@ -257,7 +278,7 @@ def opinion_members(pairs: DataFrame, negatives: DataFrame | None) -> tuple[Data
     return ev, tr if negatives is None else tr.unionByName(mine(negatives, "neg_id", "negative"))
 
 
-def split_overlaps(pairs: DataFrame, negatives: DataFrame | None, share: float = 0.125, least: int = 8, spare: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_overlaps(pairs: DataFrame, negatives: DataFrame | None, share: float = 0.125, least: int = 8, spare: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, eval_members, train_members) of all overlaps; nothing is expanded (see expanded()).
 
     links: e, t, reason (opinion, question or negative), coverage (share of the evaluation question's words that the
