@@ -2,10 +2,11 @@
 
 Sets are integers in a fixed total order (rare values first). Two sets with the required overlap share a value among
 the first few of each (the prefix), so each set is posted under the values of its prefix; inside one such posting
-group the sets' other values form small inverted lists. A probe merges its shortest lists through a heap, skipping
-by binary search over entries that can't reach the required count, and looks the rest up in its longest lists by
+group the sets' other values form small inverted lists. A probe merges its shorter lists through a heap, skipping
+by binary search over entries that can't reach the required count, and looks the rest up in its far longest lists by
 binary search. A pair is emitted only in the group of its first common values, hence once.
-Groups of more than `hot` sets are posted again under two prefix values, which splits them by a second value.
+Groups of more than `hot` sets are posted again under one more value, and again, DEPTH values deep; what is still hot then, or
+can't be split by values, is joined in blocks of probes times blocks of sets. So no task holds more than about 2 * hot sets.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import shuffle_width
+from lodestar.llm.common import join_members, keep, shuffle_width, small
 
 #: Order keys: rare values keep their own number, the `TOP` most frequent come after all of them by frequency.
 TOP = 20_000
 _FREQUENT = 1 << 61
+DEPTH = 5  # values of a key at most
+LONG = 8  # times the middle length makes a list one to be searched instead of merged
 
 
 def required(a: int, b: int, threshold: float) -> int:
@@ -69,10 +72,22 @@ def merge_lists(lists: list[list[int]], count: int, low: int, high: int) -> list
     return out
 
 
-def similar_in_group(sets: list, key: tuple, threshold: float):
+def split_lists(own: list[list[int]], need: int) -> tuple[list[list[int]], list[list[int]]]:
+    """(lists to merge, lists to search): the far longest are searched, but so many stay that an entry must be on two of them, if need be at all."""
+    own.sort(key=len)
+    most = need - 2 if need > 2 else need - 1
+    middle = len(own[len(own) // 2])
+    aside = 0
+    while aside < min(most, len(own) - 1) and len(own[-1 - aside]) > LONG * middle:
+        aside += 1
+    return own[: len(own) - aside], own[len(own) - aside :]
+
+
+def similar_in_group(sets: list, key: tuple, threshold: float, blocks: list | None = None):
     """Pairs (i, j), j < i, of one posting group; sets ascend by size, each an ascending list of order keys.
 
-    key: the values by which all sets of the group are posted (1 or 2), which get no list of their own.
+    key: the values by which all sets of the group are posted, which get no list of their own. blocks: with it, only pairs of
+    different blocks.
     """
     n_skip = len(key)
     lists: dict[int, list[int]] = {}
@@ -97,10 +112,8 @@ def similar_in_group(sets: list, key: tuple, threshold: float):
             mine = set(s)
             found = [j for j in range(low, i) if len(mine.intersection(sets[j])) >= required(n, sizes[j], threshold)]
         elif low < i and len(own) >= need:
-            own.sort(key=len)
-            aside = own[len(own) - need + 1 :] if need > 1 else []
-            short = own[: len(own) - len(aside)]
-            for j, c in merge_lists(short, 1, low, i) if len(short) > 1 else [(j, 1) for j in short[0][bisect_left(short[0], low) :]]:
+            short, aside = split_lists(own, need)
+            for j, c in merge_lists(short, max(need - len(aside), 1), low, i):
                 for entries in aside:
                     p = bisect_left(entries, j)
                     c += p < len(entries) and entries[p] == j
@@ -109,7 +122,8 @@ def similar_in_group(sets: list, key: tuple, threshold: float):
         for got in own:
             got.append(i)
         for j in found:
-            yield i, j
+            if blocks is None or blocks[i] != blocks[j]:
+                yield i, j
 
 
 def _order_keys(flat: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -135,7 +149,7 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float =
     by_value = sorted((r["v"], len(freq) - k) for k, r in enumerate(freq))
     values, ranks = np.array([v for v, _ in by_value], np.int64), np.array([r for _, r in by_value], np.int64)
 
-    def post(batches):
+    def post(batches, keys_only=False):
         import pyarrow as pa
 
         for b in batches:
@@ -152,6 +166,9 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float =
             place = np.arange(len(rec)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
             lens = size[rec]
             starts = offs[:-1][rec]
+            if keys_only:
+                yield pa.RecordBatch.from_arrays([pa.array(key[starts + place])], names=["w"])
+                continue
             o = np.concatenate(([0], np.cumsum(lens)))
             take = np.repeat(starts - o[:-1], lens) + np.arange(o[-1])
             for at in range(0, len(rec), 50_000):
@@ -161,89 +178,108 @@ def similar_sets(sets: DataFrame, id_col: str, set_col: str, threshold: float =
                     [pa.array(key[starts[at:to] + place[at:to]]), pa.array(ids[rec[at:to]]), pa.array(lens[at:to].astype(np.int32)), part], names=["w", "id", "n", "s"]
                 )
 
-    posted = src.mapInArrow(post, "w long, id long, n int, s array<long>")
-
-    def join(n_skip: int, hot_at: int | None):
-        """Streams posting groups, sorted by key and size; a hot group is handed on under two values instead."""
-
-        def groups(batches):
-            import pyarrow as pa
-
-            now, ids, group, over = None, [], [], False
-            a, b_, again = [], [], [[], [], [], [], []]
-
-            def flush():
-                if len(group) > 1:
-                    alone = n_skip == 2 and now[0] == now[1]
-                    for i, j in similar_in_group(group, now[:1] if alone else now, threshold):
-                        common = sorted(set(group[i]).intersection(group[j]))
-                        # in the group of the first common values only
-                        if common == [now[0]] if alone else tuple(common[:n_skip]) == now:
-                            a.append(ids[i])
-                            b_.append(ids[j])
-
-            def hand_on(w, i, s):
-                """Under each second value of the prefix of what follows w: sets whose first common value is w share one."""
-                at = s.index(w)
-                need = ceil(threshold * len(s) - 1e-9)
-                # where one common value can suffice, also under w alone
-                for v in ([w] if need == 1 else []) + s[at + 1 : at + 1 + max(len(s) - need + 1, 0)]:
-                    for col, x in zip(again, (w, v, i, len(s), s)):
+    posted = src.mapInArrow(post, "w long, id long, n int, s array<long>").select(F.array("w").alias("k"), "id", "n", "s")
+    keys = src.mapInArrow(lambda batches: post(batches, True), "w long").select(F.array("w").alias("k"))
+    width = max(shuffle_width(spark), 1)
+    found, deep = [], 1
+    while True:
+        # at most rows / hot keys; the lists of their sets are not moved before they are split
+        large = small(keys.groupBy("k").agg(F.count("*").alias("_m")).filter(F.col("_m") > hot))
+        any_large = large.limit(1).count() > 0
+        plain = posted.join(large, "k", "left_anti") if any_large else posted
+        found.append(plain.repartition(width, "k").sortWithinPartitions("k", "n", "id").select("k", "id", "s", F.lit(None).cast("long").alias("x")).mapInArrow(_groups(threshold), "a long, b long"))
+        if not any_large:
+            break
+        over = posted.join(large, "k")
+        ends = F.element_at("k", -1) == F.element_at("k", -2) if deep > 1 else F.lit(False)  # exactly these values in common
+        blocked = over.filter(ends) if deep < DEPTH else over
+        if deep > 1:
+            found.append(_blocks(blocked, hot, width).mapInArrow(_groups(threshold), "a long, b long"))
+        if deep == DEPTH:
+            break
+        keys = posted = keep(over.filter(~ends).select("k", "id", "n", "s").mapInArrow(_deeper(threshold), "k array<long>, id long, n int, s array<long>"))
+        deep += 1
+    both = found[0]
+    for f in found[1:]:
+        both = both.unionByName(f)
+    return both.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
+
+
+def _deeper(threshold: float):
+    """Posts the sets of a hot key under that key and each value that can be the next in common, and, where the key can suffice, under it alone (its last value twice)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            cols = [[], [], [], []]
+            for k, i, n, s in zip(*(b.column(b.schema.names.index(c)).to_pylist() for c in ("k", "id", "n", "s"))):
+                at = s.index(k[-1])
+                need = ceil(threshold * n - 1e-9)  # the least overlap with any partner
+                for v in ([k[-1]] if need <= len(k) else []) + s[at + 1 : max(n - need + len(k) + 1, at + 1)]:
+                    for col, x in zip(cols, ([*k, v], i, n, s)):
                         col.append(x)
+            kinds = (pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["k", "id", "n", "s"])
+
+    return run
+
+
+def _blocks(over: DataFrame, hot: int, width: int) -> DataFrame:
+    """Every pair of blocks of a key's sets as a group of its own: k, id, s, x (the set's block, null within one block)."""
+    n_blocks = (F.col("_m") / hot + 1).cast("long")
+    mine = F.pmod(F.xxhash64("id", F.lit(11)), n_blocks)
+    to = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("lo"), F.greatest(F.col("_b"), o).alias("hi"))))
+    x = over.withColumn("_b", mine).select("k", "id", "n", "s", "_b", to.alias("_p"))
+    x = x.repartition(width * 4, "k", "_p").sortWithinPartitions("k", "_p", "n", "id")
+    # the pair of blocks tells groups of one key apart
+    return x.select("k", "id", "s", F.when(F.col("_p.lo") == F.col("_p.hi"), F.lit(None)).otherwise(F.col("_b")).cast("long").alias("x"), F.col("_p.lo").alias("lo"), F.col("_p.hi").alias("hi"))
+
+
+def _groups(threshold: float):
+    """Joins posting groups that come one after the other, sorted by key and size: the pairs whose first common values are the key."""
 
-            def batch():
-                if hot_at is None:
-                    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
-                n = len(a)
-                m = len(again[0])
-                none = [None]
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(a + none * m, pa.int64()), pa.array(b_ + none * m, pa.int64()), pa.array(none * n + again[0], pa.int64()), pa.array(none * n + again[1], pa.int64()),
-                        pa.array(none * n + again[2], pa.int64()), pa.array(none * n + again[3], pa.int32()), pa.array(none * n + again[4], pa.list_(pa.int64())),
-                    ],
-                    names=["a", "b", "w", "v", "id", "n", "s"],
-                )
-
-            def clear():
+    def run(batches):
+        import pyarrow as pa
+
+        now, ids, group, blocks = None, [], [], []
+        a, b_ = [], []
+
+        def flush():
+            if len(group) < 2:
+                return
+            key = now[0]
+            alone = len(key) > 1 and key[-1] == key[-2]
+            key = tuple(key[:-1]) if alone else tuple(key)
+            for i, j in similar_in_group(group, key, threshold, None if blocks[0] is None else blocks):
+                common = sorted(set(group[i]).intersection(group[j]))
+                # in the group of the first common values only
+                if tuple(common) == key if alone else tuple(common[: len(key)]) == key:
+                    a.append(ids[i])
+                    b_.append(ids[j])
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            names = b.schema.names
+            k_, i_, s_, x_ = (b.column(names.index(c)).to_pylist() for c in ("k", "id", "s", "x"))
+            lo, hi = (b.column(names.index(c)).to_pylist() if c in names else [None] * len(k_) for c in ("lo", "hi"))
+            for n in range(len(k_)):
+                if (k_[n], lo[n], hi[n]) != now:
+                    flush()
+                    now, ids, group, blocks = (k_[n], lo[n], hi[n]), [], [], []
+                ids.append(i_[n])
+                group.append(s_[n])
+                blocks.append(x_[n])
+            if len(a) > 20_000:
+                yield batch()
                 a.clear()
                 b_.clear()
-                for col in again:
-                    col.clear()
-
-            for b in batches:
-                names = b.schema.names
-                w, i_, s_ = (b.column(names.index(c)).to_pylist() for c in ("w", "id", "s"))
-                v = b.column(names.index("v")).to_pylist() if n_skip == 2 else None
-                for k in range(len(w)):
-                    key = (w[k],) if v is None else (w[k], v[k])
-                    if key != now:
-                        if not over:
-                            flush()
-                        now, ids, group, over = key, [], [], False
-                    if over:
-                        hand_on(w[k], i_[k], s_[k])
-                        continue
-                    ids.append(i_[k])
-                    group.append(s_[k])
-                    if hot_at is not None and len(group) > hot_at:
-                        for x, y in zip(ids, group):
-                            hand_on(w[k], x, y)
-                        ids, group, over = [], [], True
-                if len(a) + len(again[0]) > 20_000:
-                    yield batch()
-                    clear()
-            if not over:
-                flush()
-            yield batch()
-
-        return groups
+        flush()
+        yield batch()
 
-    width = max(shuffle_width(spark), 1)
-    one = posted.repartition(width, "w").sortWithinPartitions("w", "n", "id").mapInArrow(join(1, hot), "a long, b long, w long, v long, id long, n int, s array<long>").persist()
-    two = one.filter("a IS NULL").select("w", "v", "id", "n", "s").repartition(width, "w", "v").sortWithinPartitions("w", "v", "n", "id").mapInArrow(join(2, None), "a long, b long")
-    both = one.filter("a IS NOT NULL").select("a", "b").unionByName(two)
-    return both.select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
+    return run
 
 
 def base_sections(codes) -> object:
@@ -265,8 +301,8 @@ def similar_records(df: DataFrame, id_col: str, list_col: str, threshold: float
     a class; every link between different sets is kept. Null ids are left out, repeated rows count once.
     """
     recs = df.select(F.col(f"`{id_col}`").alias("rec"), base_sections(F.col(f"`{list_col}`")).alias("s")).filter(F.col("rec").isNotNull() & (F.size("s") >= min_size))
-    recs = recs.dropDuplicates(["rec", "s"])
-    classes = recs.groupBy("s").agg(F.min("rec").alias("class_id"), F.count("*").alias("class_size")).persist()
+    recs = keep(recs.dropDuplicates(["rec", "s"]))
+    classes = keep(recs.groupBy("s").agg(F.min("rec").alias("class_id"), F.count("*").alias("class_size")))
     links = similar_sets(classes, "class_id", "s", threshold, min_size)
     members = recs.join(classes, "s").select("rec", "class_id", "class_size")
     return links, members
@@ -276,14 +312,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of neg_ids, copies expanded as the case list asks."""
     neg = spark.read.parquet(f"{sf_dir}/neg_records.parquet")
     links, members = similar_records(neg, "neg_id", "shared_codes")
-    links = links.persist()
-    # only classes with a pair: those with copies and those with a link
-    linked = links.select(F.explode(F.array("rec_a", "rec_b")).alias("class_id")).distinct().withColumn("linked", F.lit(True))
-    m = members.join(linked, "class_id", "left").filter((F.col("class_size") > 1) | F.col("linked")).select("rec", "class_id")
-    x, y = m.select(F.col("rec").alias("x"), F.col("class_id").alias("rec_a")), m.select(F.col("rec").alias("y"), F.col("class_id").alias("rec_b"))
-    across = links.join(x, "rec_a").join(y, "rec_b").select("x", "y")
-    within = x.join(y, F.col("rec_a") == F.col("rec_b")).filter("x < y").select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("neg_a"), F.greatest("x", "y").alias("neg_b")).distinct()
+    links = keep(links)
+    m = keep(members)
+    # a class with copies is linked with itself
+    own = m.filter("class_size > 1").select(F.col("class_id").alias("rec_a"), F.col("class_id").alias("rec_b")).distinct()
+    x = join_members(links.select("rec_a", "rec_b").unionByName(own), m.select(F.col("rec").alias("x"), F.col("class_id").alias("rec_a")), ["rec_a"], "x")
+    got = join_members(x, m.select(F.col("rec").alias("y"), F.col("class_id").alias("rec_b")), ["rec_b"], "y")
+    got = got.filter("(rec_a = rec_b AND x < y) OR (rec_a <> rec_b AND x <> y)")
+    return got.select(F.least("x", "y").alias("neg_a"), F.greatest("x", "y").alias("neg_b")).distinct()
 
 
 SQL = {

@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestar.llm.setjoin import merge_lists, required, similar_records, similar_sets
+from lodestar.llm import setjoin
+from lodestar.llm.setjoin import merge_lists, required, similar_in_group, similar_records, similar_sets
 
 
 @settings(max_examples=200, deadline=None)
@@ -22,7 +23,7 @@ def test_required_overlap():
         assert o == 0 or (o - 1) / (a + b - o + 1) < 0.75
 
 
-@pytest.mark.parametrize("hot, threshold", [(20_000, 0.75), (3, 0.75), (2, 0.5)])
+@pytest.mark.parametrize("hot, threshold", [(20_000, 0.75), (3, 0.75), (2, 0.5), (1, 0.75)])
 def test_join_against_brute_force(spark, hot, threshold):
     rng = random.Random(5)
     base = [frozenset(rng.sample(range(40), rng.randint(2, 12))) for _ in range(120)]
@@ -49,3 +50,53 @@ def test_records(spark):
     assert links.count() == 0 and members.count() == 0
     with pytest.raises(ValueError):
         similar_sets(df, "neg_id", "shared_codes", 0)
+
+
+def test_heap_skipping_runs(monkeypatch):
+    """Within groups, lists are merged with a required count above one, which skips."""
+    counts = []
+    real = setjoin.merge_lists
+    monkeypatch.setattr(setjoin, "merge_lists", lambda lists, count, low, high: (counts.append((len(lists), count)), real(lists, count, low, high))[1])
+    rng = random.Random(8)
+    sets = sorted({tuple(sorted({0, *rng.sample(range(1, 40), rng.randint(5, 9)), *(39 + k for k in range(rng.randint(1, 4)))})) for _ in range(300)}, key=lambda s: (len(s), s))
+    got = sorted(similar_in_group([list(s) for s in sets], (0,), 0.6))
+    want = sorted((i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) / len(set(sets[i]) | set(sets[j])) >= 0.6)
+    assert got == want and len(want) > 20
+    assert sum(c > 1 and n > 1 for n, c in counts) > len(counts) / 2
+
+
+def test_hot_pair_of_values_is_split(spark, monkeypatch):
+    """Sets that all share two values, in far more groups than one: no group holds more than about twice the bound."""
+    rng = random.Random(1)
+    sets = sorted({(1, 2, *sorted(rng.sample(range(3, 60), 4))) for _ in range(3000)})
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id long, s array<bigint>")
+    monkeypatch.setattr(setjoin, "TOP", 0)  # the order of the numbers, in which the two come first
+    sizes = []
+    real = setjoin._groups
+
+    def counted(threshold):
+        run = real(threshold)
+
+        def over(batches):
+            import pyarrow as pa
+
+            rows = list(batches)
+            tab = pa.Table.from_batches(rows) if rows else None
+            if tab is not None and tab.num_rows:
+                cols = [tab.column(c).to_pylist() if c in tab.column_names else [None] * tab.num_rows for c in ("k", "lo", "hi")]
+                most = max(sum(1 for _ in g) for _, g in itertools.groupby(zip(*cols)))
+                assert most <= 3 * 100, most
+            yield from run(iter(rows))
+
+        return over
+
+    monkeypatch.setattr(setjoin, "_groups", counted)
+    got = {tuple(r) for r in similar_sets(df, "id", "s", 0.7, 1, 100).collect()}
+    want = set()
+    by = {}
+    for i, s in enumerate(sets):
+        for part in itertools.combinations(s[2:], 3):
+            by.setdefault(part, []).append(i)
+    for ids in by.values():
+        want.update(itertools.combinations(ids, 2))
+    assert got == want and len(want) > 500
