@@ -74,6 +74,21 @@ def release() -> None:
             continue
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table written once to the shared folder of spark.checkpoint.dir and read from there, its lineage cut. Where that is unset, in local mode a folder is made; elsewhere the table is kept."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master.startswith("local"):
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint")
+        if folder is None:
+            return keep(df)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 SMALL = 200_000  # rows of keys that may go to all tasks
 HOT = 100_000  # members of a class in one task
 

@@ -47,7 +47,8 @@ def test_search(spark, monkeypatch):
     want = [(1, 1), (3, 2), (4, 3), (5, 4), (8, 10)]
     got = leaks(df, "pair_id", "t", held, "item_id", ["q", F.col("a")])
     assert sorted((r["item_id"], r["doc"]) for r in got.collect()) == want
-    monkeypatch.setattr(leakage, "SHARD_ITEMS", 3)
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 200)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 400)
     assert sorted((r["item_id"], r["doc"]) for r in leaks(df, "pair_id", "t", held, "item_id", ["q", "a"]).collect()) == want
     assert leaks(df.limit(0), "pair_id", "t", held, "item_id", ["q"]).count() == 0
     assert leaks(df, "pair_id", "t", held.limit(0), "item_id", ["q"]).count() == 0
@@ -55,3 +56,53 @@ def test_search(spark, monkeypatch):
 
 def test_terms():
     assert terms("The ﬁling, re-\nport") == terms("the FILING report") and terms(None) == []
+
+
+def test_lists():
+    """Postings come back whole, whatever the blocks, and places of different texts lie apart."""
+    rng = random.Random(2)
+    texts = [sentence(rng, n) for n in (40, 0, 3, 200)]
+    memo = {}
+    ts = [leakage.term_ids(terms(t), memo) for t in texts]
+
+    class Frame:  # stands for a table with one batch
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            self.rows = [r for b in run([pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array(texts)], names=["id", "text"])]) for r in b.to_pylist()]
+            return self
+
+    frame = Frame()
+    leakage.F, real = type("F", (), {"col": staticmethod(lambda c: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, a: s})())}), leakage.F
+    try:
+        row = leakage.positional_index(frame, "a", "b").rows[0]
+    finally:
+        leakage.F = real
+    block = leakage.Block(**{("terms_" if k == "terms" else k): v for k, v in row.items()})
+    assert block.ids.tolist() == [7, 8, 9, 10] and len(block.places) == sum(map(len, ts))
+    for d, t in enumerate(ts):
+        assert block.has(block.lists(t), block.begins[d] + np.arange(len(t))).all()
+    assert block.lists(np.array([12345], np.int64))[0] == -1 and not block.has(np.array([-1]), np.array([0])).any()
+    assert block.near(block.lists(ts[3][:1]), np.array([block.begins[3] + 9]), 9).all()
+
+
+def test_many_items_take_one_scan(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [a + b for a in NAMES for b in ("", "in", "ard", "us")]
+    make = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, make(24)) for i in range(20_000)]
+    docs, want = [], set()
+    for d in range(120):
+        picked = rng.sample(range(20_000), 3)
+        want.update((i, d) for i in picked)
+        docs.append((d, " ".join(f"{make(40)} {items[i][1]} {make(40)}" for i in picked)))
+    scans = []
+    real = leakage.positional_index
+    monkeypatch.setattr(leakage, "positional_index", lambda *a: (scans.append(1), real(*a))[1])
+    got = leaks(spark.createDataFrame(docs, "d long, t string").repartition(2), "d", "t", spark.createDataFrame(items, "i long, q string"), "i", ["q"])
+    assert {(r["item_id"], r["doc"]) for r in got.collect()} == want and len(scans) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "ExistingRDD" in plan  # from the stored index, not from the texts
