@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import retrieval_tokens
 
 K1, B = 1.5, 0.75
+FEW = 200_000  # query terms that may go to all tasks
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -19,17 +20,21 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def scores(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score of all documents that share a term with a query.
 
-    A term counts as often as the query has it; idf = ln(1 + (N - df + .5) / (df + .5)). Only postings of query terms are shuffled
-    (a semi join on distinct terms prunes the rest where the tokens arise); tf is counted within each document, before
-    any shuffle. Ids are taken as unique; null texts count as empty documents.
+    A term counts as often as the query has it; idf = ln(1 + (N - df + .5) / (df + .5)). The documents are tokenised once and the
+    tokens kept for the totals and the postings. Only postings of query terms are shuffled (a semi join on distinct terms
+    prunes the rest where the tokens arise, by broadcast if they are at most FEW); they are kept for the counts of holders and the
+    scores. Ids are taken as unique; null texts count as empty documents.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), retrieval_tokens(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks"))
+    d = docs.select(F.col(id_col).alias("doc_id"), retrieval_tokens(F.col(text_col)).alias("toks")).withColumn("dl", F.size("toks")).persist()
+    terms = terms.persist()
+    few = terms.limit(FEW + 1).count() <= FEW
+    hint = F.broadcast if few else lambda x: x
     totals = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("_k", F.lit(1))
     # one row per document and term that some query has
-    wanted = terms.select("term").distinct()
-    post = d.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    wanted = hint(terms.select("term").distinct())
+    post = d.select("doc_id", "dl", F.explode("toks").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf")).persist()
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    x = post.join(df, "term").join(terms, "term").withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k")
+    x = post.join(hint(df), "term").join(hint(terms), "term").withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
     return x.groupBy("query_id", "doc_id").agg(F.sum(F.col("q_tf") * idf * F.col("tf") * (k1 + 1) / norm).alias("score"))

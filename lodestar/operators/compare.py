@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 
 def deltas(per_query: DataFrame, a: str, b: str, metric: str) -> DataFrame:
     """query_id, a, b, delta = b - a of two runs' metric; queries of only one run are left out."""
-    x = per_query.filter(F.col("run_id") == a).select("query_id", F.col(metric).alias("a"))
-    y = per_query.filter(F.col("run_id") == b).select("query_id", F.col(metric).alias("b"))
-    return x.join(y, "query_id").withColumn("delta", F.col("b") - F.col("a"))
+    x = join_runs(per_query, [a, b], metric).filter("missing = 0")
+    return x.select("query_id", F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).withColumn("delta", F.col("b") - F.col("a"))
+
+
+def join_runs(per_query: DataFrame, runs: list[str], metric: str) -> DataFrame:
+    """query_id, one column of the metric per run (null where it lacks the query) and how many runs lack it. One pass over the runs."""
+    cells = [F.max(F.when(F.col("run_id") == r, F.col(metric))).alias(r) for r in runs]
+    x = per_query.filter(F.col("run_id").isin(runs)).groupBy("query_id").agg(*cells, F.countDistinct("run_id").alias("_n"))
+    return x.withColumn("missing", (F.lit(len(runs)) - F.col("_n")).cast("int")).drop("_n")
+
+
+def filtered_mean(delta_rows: DataFrame, queries: DataFrame, col: str, value: str) -> DataFrame:
+    """n and the means of a, b and delta over the queries with a value of one column, such as one topic."""
+    x = delta_rows.join(queries.filter(F.col(col) == value).select("query_id"), "query_id")
+    return x.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(f"mean_{c}") for c in ("a", "b", "delta")])
 
 
 def wins(delta_rows: DataFrame, queries: DataFrame, dims: list[str], margin: float = 0.05) -> DataFrame:
-    """group_kind, group, n, wins, losses, flat, mean_delta overall and by each dimension."""
+    """group_kind, group, n, wins, losses, flat, mean_delta overall and by each dimension. A change of the margin itself is a win or loss; flat lies strictly within."""
     kinds = F.array(F.struct(F.lit("overall").alias("kind"), F.lit("all").alias("value")), *[F.struct(F.lit(d).alias("kind"), F.coalesce(F.col(d), F.lit("")).alias("value")) for d in dims])
     x = delta_rows.join(queries.select("query_id", *dims), "query_id").withColumn("g", F.explode(kinds))
     d = F.round("delta", 9)
     return x.groupBy(F.col("g.kind").alias("group_kind"), F.col("g.value").alias("group")).agg(
-        F.count("*").alias("n"), F.count_if(d > margin).alias("wins"), F.count_if(d < -margin).alias("losses"), F.count_if(F.abs(d) <= margin).alias("flat"), F.round(F.avg("delta"), 6).alias("mean_delta")
+        F.count("*").alias("n"), F.count_if(d >= margin).alias("wins"), F.count_if(d <= -margin).alias("losses"), F.count_if(F.abs(d) < margin).alias("flat"), F.round(F.avg("delta"), 6).alias("mean_delta")
     )
 
 
@@ -34,9 +46,9 @@ def oracle_mean(per_query: DataFrame, a: str, b: str, metric: str) -> DataFrame:
     return deltas(per_query, a, b, metric).agg(F.count("*").alias("n"), F.round(F.avg(F.greatest("a", "b")), 6).alias("oracle"))
 
 
-def best_trial(groups: DataFrame, metric: str) -> DataFrame:
-    """run_id and metric of the best overall row, ties by run_id."""
-    w = Window.orderBy(F.desc(metric), "run_id")
+def best_trial(groups: DataFrame, metric: str, trials: list[str]) -> DataFrame:
+    """run_id and metric of the best overall row; of equal ones the first in the order of the trials. One row per trial comes to the window."""
+    w = Window.orderBy(F.desc(metric), F.array_position(F.array(*map(F.lit, trials)), F.col("run_id")))
     return groups.filter("group_kind = 'overall'").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select("run_id", metric)
 
 

@@ -83,8 +83,11 @@ def search(queries: DataFrame, has_tokens: DataFrame, has_citations: DataFrame,
     citation and not all_path: lexical order, scores above 0), empty_pool, cb_fired (best two lexical scores of the pool in a
     ratio of cb_threshold or more: lexical order, zeros kept), fusion ((1 - w) lexical + w dense, min-max scaled in the pool).
     The weight is the trial's, its type's if given, `adaptive(top1, mean, w)` of Columns if given, and last the confidence boost. Ties go by document id.
-    ranking: run_id (the trial), query_id, rank, doc_id, score. diagnostics: one row per trial and query.
+    ranking: run_id (the trial), query_id, rank, doc_id, score. diagnostics: one row per trial and query. k is at most POOL, as
+    the lexical route takes its rows from the pool.
     """
+    if k > POOL:
+        raise ValueError(f"k must be at most {POOL}, the lexical part of the pool")
     q = queries.select("query_id", "query_type").join(has_tokens.select("query_id").distinct().withColumn("tok", F.lit(True)), "query_id", "left").join(has_citations.select("query_id").distinct().withColumn("cit", F.lit(True)), "query_id", "left")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "doc_id")
     p = pool.withColumn("lex_rank", F.row_number().over(w)).withColumn("nb", min_max("bm25", ["query_id"])).withColumn("ns", min_max("cos", ["query_id"]))

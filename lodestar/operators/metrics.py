@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def graded(run: DataFrame, qrels: DataFrame) -> DataFrame:
+def graded(run: DataFrame, qrels: DataFrame, runs: list[str] | None = None) -> DataFrame:
     """One row per run_id and judged query: mrr (first document of score 2), ndcg_5, ndcg_10 (linear gain, log2 discount, ideal of all
     judgments), p_5, p_10, r_10, r_20 (score 1 and above). Judged queries without results have zeros in every run.
 
-    run: run_id, query_id, rank, doc_id; qrels: query_id, doc_id, score. Per-query sums only; no list of results is built.
+    run: run_id, query_id, rank, doc_id; qrels: query_id, doc_id, score. runs: the labels, if known; else the run is made twice to learn
+    them. Per-query sums only; no list of results is built.
     """
     qrels = qrels.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -22,7 +23,10 @@ def graded(run: DataFrame, qrels: DataFrame) -> DataFrame:
         F.min(F.when(F.col("score") == 2, F.col("rank"))).alias("first"), gain("score", "rank", 5).alias("dcg_5"), gain("score", "rank", 10).alias("dcg_10"),
         hit(5).alias("h_5"), hit(10).alias("h_10"), hit(20).alias("h_20"),
     )
-    every = run.select("run_id").distinct().withColumn("_k", F.lit(1)).join(ideals.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    if runs is None:
+        every = run.select("run_id").distinct().withColumn("_k", F.lit(1)).join(ideals.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    else:
+        every = ideals.withColumn("run_id", F.explode(F.array(*map(F.lit, runs))))
     x = every.join(per, ["run_id", "query_id"], "left")
     safe = lambda a, b: F.when(F.col(b) > 0, F.coalesce(F.col(a), F.lit(0)) / F.col(b)).otherwise(0.0)
     z = lambda c, k: F.coalesce(F.col(c), F.lit(0)) / F.lit(float(k))
@@ -42,6 +46,19 @@ def grouped(per_query: DataFrame, queries: DataFrame, dims: list[str]) -> DataFr
     return x.groupBy("run_id", F.col("g.kind").alias("group_kind"), F.col("g.value").alias("group")).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
+def report(run: DataFrame, qrels: DataFrame, queries: DataFrame, dims: list[str], runs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(means overall and by each dimension, metrics per query with its dimensions): a scored model's whole report."""
+    per = graded(run, qrels, runs).persist()
+    return grouped(per, queries, dims), per.join(queries.select("query_id", *dims), "query_id")
+
+
+def val_rows(pairs: DataFrame, positive: str, id_col: str = "opinion_id", order: str = "pair_id") -> DataFrame:
+    """doc_id, question, positive of the validation slice, which is its own corpus: rows without the positive column are left out; of an opinion delivered again the last row counts."""
+    w = Window.partitionBy(id_col).orderBy(F.desc(order))
+    p = pairs.filter(F.col(id_col).isNotNull() & (F.length(F.coalesce(F.col(positive), F.lit(""))) > 0))
+    return p.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(F.col(id_col).alias("doc_id"), "question", F.col(positive).alias("positive"))
+
+
 def binary(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean accuracy at 1, 3, 5, precision and recall at 5, 10, nDCG and MRR at 5, 10 and MAP at 100 of a run over all judged queries.
 

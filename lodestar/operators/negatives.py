@@ -16,7 +16,7 @@ def lexical_negatives(scored: DataFrame, excluded: DataFrame, overfetch: int = 3
     cut = scored.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= overfetch).filter("score > 0 AND doc_id <> query_id")
     cut = cut.join(excluded.select(F.col(excluded.columns[0]).alias("doc_id")).distinct(), "doc_id", "left_anti")
     w2 = Window.partitionBy("query_id").orderBy("_rn")
-    return cut.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("neg_id"), "rank", F.round("score", 4).alias("score"))
+    return cut.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).select(F.col("query_id").alias("doc_id"), F.col("doc_id").alias("neg_id"), "rank", F.bround("score", 4).alias("score"))
 
 
 def merge_negatives(lexical: DataFrame, statute: DataFrame) -> DataFrame:
@@ -37,6 +37,13 @@ def anchor_mix(negatives: DataFrame, anchors: DataFrame) -> DataFrame:
     return x.groupBy(mix.alias("mix")).agg(F.count("*").alias("n"))
 
 
+def list_summary(negatives: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
+    """n, mean, least, most of the list lengths of all anchors, those without a list at 0; the mean to 3 places, halves to even."""
+    per = negatives.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.count("*").alias("length"))
+    x = anchors.select("doc_id").distinct().join(per, "doc_id", "left").select(F.coalesce("length", F.lit(0)).alias("length"))
+    return x.agg(F.count("*").alias("n"), F.bround(F.avg("length"), 3).alias("mean"), F.min("length").alias("least"), F.max("length").alias("most"))
+
+
 def list_lengths(negatives: DataFrame, key: str) -> DataFrame:
     """length, n: how many anchors have lists of each length. Two aggregations; no list is built."""
     return negatives.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("length")).groupBy("length").agg(F.count("*").alias("n"))

@@ -98,6 +98,27 @@ def fill_report(pairs: DataFrame, cols: list[str]) -> DataFrame:
     return agg.select("total", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in [*cols, "pos_conclusion_only"]])).alias("x")).select("x.column", "x.filled", "total")
 
 
+def with_extra(pairs: DataFrame, *extra: DataFrame) -> DataFrame:
+    """The pairs and the rows of extra sets, as paraphrases are; columns that a set lacks are null."""
+    for e in extra:
+        pairs = pairs.unionByName(e, allowMissingColumns=True)
+    return pairs
+
+
+def training_report(pairs: DataFrame, val_ids: DataFrame, positive: str, rows: DataFrame) -> DataFrame:
+    """outcome, n of training_rows: input_pairs, dropped_val_overlap, dropped_poscol_null, dropped_insufficient_hard_negs, training_rows; the first is the sum of the others."""
+    gone = val_ids.select(F.col(val_ids.columns[0]).alias("opinion_id")).distinct().withColumn("_val", F.lit(True))
+    made = rows.groupBy("pair_id").agg(F.count("*").alias("_rows"))
+    x = pairs.select("pair_id", "opinion_id", positive).join(gone, "opinion_id", "left").join(made, "pair_id", "left")
+    outcome = (
+        F.when(F.col("_val"), "dropped_val_overlap").when(F.length(F.coalesce(F.col(positive), F.lit(""))) == 0, "dropped_poscol_null")
+        .when(F.col("_rows").isNull(), "dropped_insufficient_hard_negs").otherwise("training_rows")
+    )
+    names = ["dropped_val_overlap", "dropped_poscol_null", "dropped_insufficient_hard_negs", "training_rows"]
+    got = x.agg(F.count("*").alias("input_pairs"), *[F.count_if(outcome == n).alias(n) for n in names])
+    return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("outcome"), F.col(n).alias("n")) for n in ["input_pairs", *names]])).alias("x")).select("x.*")
+
+
 def training_rows(pairs: DataFrame, val_ids: DataFrame, positive: str, negatives: DataFrame | None = None, corpus: DataFrame | None = None, n_negatives: int = 0, query_prefix: str = "", doc_prefix: str = "", seed: str = "42") -> DataFrame:
     """anchor, positive, negatives (array) and shuffle_key of each training row.
 

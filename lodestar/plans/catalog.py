@@ -36,8 +36,10 @@ def opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Opinion records as delivered, their sections cut from the full text by its titles."""
+    """Opinion records as delivered, their sections cut from the full text by its titles; some lack a question or an answer or have a short question."""
     p = table(spark, sf_dir, "pairs")
+    k = F.col("pair_id")
+    p = p.withColumn("question", F.when(k % 29 == 3, F.lit(None)).when(k % 31 == 4, F.lit("Too short?")).otherwise(F.col("question"))).withColumn("pos_qa_text", F.when(k % 37 == 5, F.lit(" ")).otherwise(F.col("pos_qa_text")))
     cut = lambda a, b: F.nullif(F.regexp_extract("pos_full_text", rf"(?s)\n\n{a}\n\n(.*?)\n\n{b}", 1), F.lit(""))
     return p.select(
         F.col("pair_id").cast("string").alias("id"), F.nullif("year", F.lit(0)).alias("year"),
@@ -58,7 +60,7 @@ def qrels(spark, sf_dir):
 
 
 def lexical(spark, sf_dir, ops=None):
-    return bm25.scores(ops or opinions(spark, sf_dir), "doc_id", "qa", bm25.query_terms(eval_queries(spark, sf_dir), "query_id", "query_text"))
+    return bm25.scores(ops or opinions(spark, sf_dir), "doc_id", "full_text", bm25.query_terms(eval_queries(spark, sf_dir), "query_id", "query_text"))
 
 
 def hashed(df: DataFrame, id_col: str, text: str, out: str) -> DataFrame:
@@ -79,13 +81,23 @@ def pool(spark, sf_dir) -> DataFrame:
     return fusion.pools(q, lex, cited, dense)
 
 
-def sweep(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def sweep(spark, sf_dir, adaptive=None) -> tuple[DataFrame, DataFrame]:
     q = eval_queries(spark, sf_dir)
-    return fusion.search(q, bm25.query_terms(q, "query_id", "query_text"), citations.query_keys(q, "query_id", "query_text"), pool(spark, sf_dir).persist(), TRIALS)
+    return fusion.search(q, bm25.query_terms(q, "query_id", "query_text"), citations.query_keys(q, "query_id", "query_text"), pool(spark, sf_dir).persist(), TRIALS, adaptive=adaptive)
+
+
+def surer(top1, mean, weight):
+    """An adaptive rule: 0.2 more weight for the dense scores where the best stands out by 0.3."""
+    return F.when(top1 - mean >= 0.3, F.least(weight + 0.2, F.lit(1.0))).otherwise(weight)
+
+
+def adaptive_routes(spark, sf_dir) -> DataFrame:
+    d = sweep(spark, sf_dir, surer)[1]
+    return d.select("run_id", "query_id", "path", F.round("w_sem", 6).alias("w_sem"), F.round("sem_top1", 6).alias("sem_top1"), F.round("sem_mean", 6).alias("sem_mean"))
 
 
 def sweep_metrics(spark, sf_dir) -> DataFrame:
-    return metrics.graded(sweep(spark, sf_dir)[0], qrels(spark, sf_dir))
+    return metrics.graded(sweep(spark, sf_dir)[0], qrels(spark, sf_dir), [t.label for t in TRIALS])
 
 
 def dense_run(spark, sf_dir, k=20) -> DataFrame:
@@ -98,7 +110,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = e.filter("vec_id % 20 = 0")
     rel = q.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("query_id <> doc_id").select("query_id", "doc_id", F.lit(2).alias("score"))
-    per = metrics.graded(dense_run(spark, sf_dir).withColumn("run_id", F.lit("exact")), rel)
+    per = metrics.graded(dense_run(spark, sf_dir).withColumn("run_id", F.lit("exact")), rel, ["exact"])
     return metrics.grouped(per, q.select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("label")), ["label"])
 
 
@@ -111,7 +123,39 @@ def train(spark, sf_dir):
 
 
 def held_ids(spark, sf_dir):
-    return table(spark, sf_dir, "pairs").filter("split_name <> 'train'").select("opinion_id")
+    """The held-out opinions and those of the validation and test rows."""
+    return table(spark, sf_dir, "heldout_pairs").select("opinion_id").unionByName(table(spark, sf_dir, "pairs").filter("split_name <> 'train'").select("opinion_id"))
+
+
+def run_wins(spark, sf_dir):
+    """Wins of w40_all over w60 by type, topic and the route that w40_all took."""
+    ranking, routes = sweep(spark, sf_dir)
+    per = metrics.graded(ranking, qrels(spark, sf_dir), [t.label for t in TRIALS])
+    q = eval_queries(spark, sf_dir).join(routes.filter("run_id = 'w40_all'").select("query_id", "path"), "query_id")
+    return compare.wins(compare.deltas(per, "w60", "w40_all", "ndcg_5"), q, [*DIMS, "path"])
+
+
+def unit(df: DataFrame) -> DataFrame:
+    """Vectors v scaled to length 1; null without any token."""
+    scaled = lambda v: T.let(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))
+    return df.withColumn("v", T.let(F.col("v"), scaled))
+
+
+def dense_gold_ranks(spark, sf_dir):
+    """Where the judged opinions stand in the whole dense ranking of all opinions."""
+    q = unit(hashed(eval_queries(spark, sf_dir), "query_id", "query_text", "query_id"))
+    d = unit(hashed(opinions(spark, sf_dir), "doc_id", "qa", "doc_id"))
+    rel = qrels(spark, sf_dir)
+    return metrics.gold_ranks(vector.full_ranks(q, d, rel), rel)
+
+
+def val_evaluator(spark, sf_dir):
+    """The validation rows as queries and as corpus: how well a question finds its own answer. Documents have the negated ids."""
+    p = table(spark, sf_dir, "pairs").filter("split_name = 'val'")
+    rows = metrics.val_rows(p, "pos_qa_text").join(p.groupBy(F.col("opinion_id").alias("doc_id")).agg(F.max("pair_id").alias("id")), "doc_id").persist()
+    vec = lambda c, i: unit(hashed(rows.withColumn("_i", i), "_i", c, "vec_id")).withColumnRenamed("v", "embedding")
+    run = vector.top_k(vec("question", F.col("id")), vec("positive", -F.col("id")), 100)
+    return metrics.binary(run, rows.select(F.col("id").alias("query_id"), (-F.col("id")).alias("doc_id")))
 
 
 def statute(spark, sf_dir, k=5):
@@ -124,7 +168,7 @@ def lexical_negatives(spark, sf_dir):
     """For the opinions whose pair id is divisible by 20, against all training opinions."""
     docs = pairs.first_per_id(train(spark, sf_dir), "opinion_id", ["pair_id"])
     terms = bm25.query_terms(docs.filter("pair_id % 20 = 0"), "opinion_id", "question")
-    return negatives.lexical_negatives(bm25.scores(docs, "opinion_id", "pos_qa_text", terms), held_ids(spark, sf_dir))
+    return negatives.lexical_negatives(bm25.scores(docs, "opinion_id", "pos_full_text", terms), held_ids(spark, sf_dir))
 
 
 def merged_negatives(spark, sf_dir):
@@ -136,7 +180,11 @@ def merged_negatives(spark, sf_dir):
 def training(spark, sf_dir):
     n = table(spark, sf_dir, "neg_records").filter("anchor_id IS NOT NULL").select(F.col("anchor_id").alias("opinion_id"), F.col("opinion_id").alias("neg_opinion_id"), F.col("neg_id").alias("ordinal")).distinct()
     corpus = opinions(spark, sf_dir).select("doc_id", F.col("qa").alias("text"))
-    rows = pairs.training_rows(train(spark, sf_dir), held_ids(spark, sf_dir), "pos_body", n, corpus, 2, "query: ", "passage: ")
+    return pairs.training_rows(train(spark, sf_dir), held_ids(spark, sf_dir), "pos_body", n, corpus, 2, "query: ", "passage: ")
+
+
+def training_keys(spark, sf_dir):
+    rows = training(spark, sf_dir)
     return rows.select("pair_id", "anchor", F.length("positive").alias("n_positive"), F.array_join(F.transform("negatives", F.md5), ",").alias("negatives"), "shuffle_key")
 
 
@@ -183,7 +231,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "leakage_pairs": measured,
         "leakage_buckets": lambda s, d: leakage.buckets(leakage.best(measured(s, d), 2)),
         "leakage_best_match": lambda s, d: leakage.best_match(measured(s, d)),
-        "leakage_stats": lambda s, d: _rounded(stats.rank_stats(leakage.best(measured(s, d), 1), ["query_type"], "query_overlap"), ["query_type"]),
+        "leakage_stats": lambda s, d: leakage.summary(measured(s, d)),
+        "leakage_missing": lambda s, d: leakage.missing(qrels(s, d), p(s, d).select(F.col("opinion_id").alias("doc_id"))),
         "judged_opinions": lambda s, d: qrels(s, d).groupBy("doc_id").agg(F.max("score").alias("best"), F.count("*").alias("n")),
         "bm25_top20": lambda s, d: bm25.top_k(lexical(s, d), 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score")),
         "dense_top20": lambda s, d: dense_run(s, d).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score")),
@@ -197,18 +246,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fusion_paths": lambda s, d: fusion.path_counts(sweep(s, d)[1]),
         "fusion_per_query": lambda s, d: _rounded(sweep_metrics(s, d), ["run_id", "query_id"]),
         "fusion_metrics": lambda s, d: metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS),
-        "best_trial": lambda s, d: compare.best_trial(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_5"),
-        "run_wins": lambda s, d: compare.wins(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"), eval_queries(s, d), DIMS),
+        "best_trial": lambda s, d: compare.best_trial(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_5", [t.label for t in TRIALS]),
+        "fusion_adaptive": adaptive_routes,
+        "run_wins": run_wins,
+        "run_join": lambda s, d: _rounded(compare.join_runs(sweep_metrics(s, d), [t.label for t in TRIALS], "ndcg_10"), ["query_id"]),
+        "topic_mean": lambda s, d: compare.filtered_mean(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_5"), eval_queries(s, d), "query_topic", "conflicts_of_interest"),
         "largest_changes": lambda s, d: _rounded(compare.largest(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10")), ["query_id"]),
         "oracle_mean": lambda s, d: compare.oracle_mean(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"),
         "metric_pivot": lambda s, d: compare.pivot_metric(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_10", [t.label for t in TRIALS]),
         "side_by_side": lambda s, d: compare.side_by_side(sweep(s, d)[0], qrels(s, d), ["w60", "w40_all"]),
         "gold_ranks": lambda s, d: metrics.gold_ranks(bm25.ranks_of(lexical(s, d).persist(), qrels(s, d)), qrels(s, d)),
+        "dense_gold_ranks": dense_gold_ranks,
         "lexical_negatives": lexical_negatives,
         "hard_negatives": merged_negatives,
         "anchor_mix": lambda s, d: negatives.anchor_mix(table(s, d, "neg_records").withColumn("doc_id", F.col("anchor_id")), train(s, d).withColumn("doc_id", F.col("opinion_id"))),
+        "negative_list_summary": lambda s, d: negatives.list_summary(table(s, d, "neg_records"), train(s, d).select(F.col("opinion_id").alias("doc_id")), "anchor_id"),
         "negative_list_lengths": lambda s, d: negatives.list_lengths(table(s, d, "neg_records"), "anchor_id"),
-        "training_rows": training,
+        "training_rows": training_keys,
+        "training_report": lambda s, d: pairs.training_report(p(s, d), held_ids(s, d), "pos_body", training(s, d)),
+        "extra_pairs": lambda s, d: pairs.with_extra(p(s, d).select("pair_id", "year", "question", "question_source"), pairs.paraphrase_rows(p(s, d).select("pair_id", "year", "question", "question_source"), _answered(s, d), "pair_id")),
+        "val_evaluator": val_evaluator,
+        "question_index": lambda s, d: opinions(s, d).select("doc_id", T.normalize_question(F.col("question")).alias("question"), F.length("full_text").alias("n_chars")),
         "chunks": lambda s, d: chunking.chunk_windows(table(s, d, "documents"), "doc_id", "text", 130).select("doc_id", "chunk", "n_tokens", F.md5(F.array_join("tokens", " ")).alias("tokens")),
         "resume": lambda s, d: resume(p(s, d).select("pair_id", "opinion_id"), table(s, d, "neg_records").select(F.col("anchor_id").alias("opinion_id")), "opinion_id").select("pair_id"),
     }

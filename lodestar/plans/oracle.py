@@ -95,7 +95,7 @@ _LABELS = "rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, 2 AS score F
 
 # --- hybrid search -----------------------------------------------------------------------
 _VEC = lambda c: f"list_transform(range(0, 64), lambda i: CAST(len(list_filter(list_transform({_tokens(c)}, lambda t: CAST('0x' || substring(md5(t), 1, 2) AS INT) % 64), lambda x: x = i)) AS DOUBLE))"
-_POOL = f"""{_OPS}, {_QRELS}, {_bm25('ops', 'doc_id', 'qa', 'eval_queries', 'query_id', 'query_text')},
+_POOL = f"""{_OPS}, {_QRELS}, {_bm25('ops', 'doc_id', 'full_text', 'eval_queries', 'query_id', 'query_text')},
  oc AS ({_cites('ops', 'doc_id', 'full_text')}),
  idx AS (SELECT doc_id, 'gov_exact' AS kind, raw AS key FROM oc WHERE kind = 'gov' UNION SELECT doc_id, 'gov_base', base FROM oc WHERE kind = 'gov' UNION SELECT doc_id, 'reg_exact', raw FROM oc WHERE kind = 'reg'),
  qc AS ({_cites('eval_queries', 'query_id', 'query_text')}),
@@ -116,18 +116,24 @@ _SWEEP = f"""{_POOL}, {_TRIALS},
  st AS (SELECT query_id, count(*) AS pool_size, count_if(from_citation) AS citation_pool_size, max(CASE WHEN lex_rank = 1 THEN bm25 END) AS b1, max(CASE WHEN lex_rank = 2 THEN bm25 END) AS b2, max(cos) AS sem_top1, avg(cos) AS sem_mean FROM p GROUP BY query_id),
  diag AS (SELECT run_id, query_id, CASE WHEN tok IS NULL THEN 'empty_query' WHEN cit IS NULL AND NOT all_path THEN 'bm25_only_noncite' WHEN pool_size IS NULL THEN 'empty_pool' WHEN ratio IS NULL OR ratio >= cb THEN 'cb_fired' ELSE 'fusion' END AS path,
    cit IS NOT NULL AS has_citations, coalesce(pool_size, 0) AS pool_size, coalesce(citation_pool_size, 0) AS citation_pool_size, ratio AS top12_ratio,
-   CASE WHEN sem_top1 >= t1 AND (gap IS NULL OR sem_top1 - sem_mean >= gap) THEN 0.8 ELSE coalesce(CASE query_type WHEN 'keyword' THEN w_keyword WHEN 'fact_pattern' THEN w_fact END, w) END AS w_sem, sem_top1
+   CASE WHEN sem_top1 >= t1 AND (gap IS NULL OR sem_top1 - sem_mean >= gap) THEN 0.8 ELSE coalesce(CASE query_type WHEN 'keyword' THEN w_keyword WHEN 'fact_pattern' THEN w_fact END, w) END AS w_sem, sem_top1, sem_mean
    FROM (SELECT query_id, query_type, (SELECT max(1) FROM lex_q x WHERE x.query_id = e.query_id) AS tok, (SELECT max(1) FROM keys x WHERE x.query_id = e.query_id) AS cit FROM eval_queries e)
    LEFT JOIN (SELECT *, CASE WHEN b2 > 0 THEN b1 / b2 END AS ratio FROM st) USING (query_id) CROSS JOIN trials),
  run AS (SELECT * FROM (SELECT run_id, query_id, doc_id, sc AS score, row_number() OVER (PARTITION BY run_id, query_id ORDER BY round(sc, 9) DESC, doc_id) AS rank FROM (
    SELECT run_id, query_id, doc_id, CASE WHEN path = 'fusion' THEN (1 - w_sem) * nb + w_sem * ns ELSE bm25 END AS sc FROM diag JOIN p USING (query_id)
    WHERE path IN ('cb_fired', 'fusion') OR (path = 'bm25_only_noncite' AND bm25 > 0))) WHERE rank <= 20)"""
+_ADAPTED = _SWEEP.replace(
+    "ELSE coalesce(CASE query_type WHEN 'keyword' THEN w_keyword WHEN 'fact_pattern' THEN w_fact END, w) END AS w_sem",
+    "WHEN sem_top1 - sem_mean >= 0.3 THEN least(coalesce(CASE query_type WHEN 'keyword' THEN w_keyword WHEN 'fact_pattern' THEN w_fact END, w) + 0.2, 1.0) ELSE coalesce(CASE query_type WHEN 'keyword' THEN w_keyword WHEN 'fact_pattern' THEN w_fact END, w) END AS w_sem",
+)
 _PERQ = f"{_SWEEP}, {_graded('run', 'qrels', 'per')}"
 _GROUPED = f"{_PERQ}, g AS ({_groups('per', 'eval_queries', ['query_type', 'query_topic'])})"
 _DELTA = f"{_PERQ}, dl AS (SELECT x.query_id, x.ndcg_10 AS a, y.ndcg_10 AS b, y.ndcg_10 - x.ndcg_10 AS delta FROM per x JOIN per y USING (query_id) WHERE x.run_id = 'w60' AND y.run_id = 'w40_all')"
-_WIN = "count(*) AS n, count_if(round(delta, 9) > 0.05) AS wins, count_if(round(delta, 9) < -0.05) AS losses, count_if(abs(round(delta, 9)) <= 0.05) AS flat, round(avg(delta), 6) AS mean_delta FROM dl JOIN eval_queries USING (query_id)"
+_WIN = "count(*) AS n, count_if(round(delta, 9) >= 0.05) AS wins, count_if(round(delta, 9) <= -0.05) AS losses, count_if(abs(round(delta, 9)) < 0.05) AS flat, round(avg(delta), 6) AS mean_delta FROM dl5 JOIN eval_queries USING (query_id) JOIN (SELECT query_id, path FROM diag WHERE run_id = 'w40_all') USING (query_id)"
+_DELTA5 = _DELTA + ", dl5 AS (SELECT x.query_id, x.ndcg_5 AS a, y.ndcg_5 AS b, y.ndcg_5 - x.ndcg_5 AS delta FROM per x JOIN per y USING (query_id) WHERE x.run_id = 'w60' AND y.run_id = 'w40_all')"
+_UNIT = lambda c: f"(SELECT CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) END FROM (SELECT v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT {_VEC(c)} AS v)))"
 # --- leakage -------------------------------------------------------------------------------
-_SIM = lambda a, b, over: f"CASE WHEN {b} IS NULL THEN NULL WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE round(len(list_intersect({a}, {b})) / len(list_distinct({over})), 3) END"
+_SIM = lambda a, b, over: f"CASE WHEN {b} IS NULL THEN NULL WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE round_even(len(list_intersect({a}, {b})) / len(list_distinct({over})), 3) END"
 _MEASURED = f"""{_OPS}, {_QRELS}, ql AS (SELECT query_id, query_type, {_leak('query_text')} AS qt, {_grams('query_text')} AS qg FROM eval_queries),
  ol AS (SELECT doc_id, {_leak('question')} AS ot, {_grams('question')} AS og FROM ops WHERE doc_id IN (SELECT doc_id FROM qrels)),
  m AS (SELECT query_id, query_type, doc_id, score, {_SIM('qt', 'ot', 'list_concat(qt, ot)')} AS token_jaccard, {_SIM('qg', 'og', 'list_concat(qg, og)')} AS char_jaccard_5, {_SIM('qt', 'ot', 'qt')} AS query_overlap FROM qrels JOIN ql USING (query_id) LEFT JOIN ol USING (doc_id))"""
@@ -146,14 +152,14 @@ def _rank_stats(src: str, key: str) -> str:
 _CUT = lambda a, b: f"nullif(regexp_extract(pos_full_text, '(?s)\\n\\n{a}\\n\\n(.*?)\\n\\n{b}', 1), '')"
 _F = lambda c: f"nullif({_strip(c)}, '')"
 _BUILT = f"""src AS (SELECT pair_id, year, qa_source, topic_primary, {_F("CASE WHEN question_source = 'real' THEN question END")} AS real, {_F("CASE WHEN question_source <> 'real' THEN question END")} AS synth,
-  {_F(_CUT('FACTS', 'ANALYSIS'))} AS facts, {_F(_CUT('ANALYSIS', 'Sincerely'))} AS analysis, coalesce({_F(_CUT('CONCLUSION', '(?:FACTS|ANALYSIS)'))}, CASE WHEN NOT has_conclusion THEN 'Yes.' END) AS conclusion, {_F('pos_qa_text')} AS qa, {_F('pos_full_text')} AS full_text FROM pairs),
+  {_F(_CUT('FACTS', 'ANALYSIS'))} AS facts, {_F(_CUT('ANALYSIS', 'Sincerely'))} AS analysis, coalesce({_F(_CUT('CONCLUSION', '(?:FACTS|ANALYSIS)'))}, CASE WHEN NOT has_conclusion THEN 'Yes.' END) AS conclusion, {_F('pos_qa_text')} AS qa, {_F('pos_full_text')} AS full_text FROM (SELECT * REPLACE (CASE WHEN pair_id % 29 = 3 THEN NULL WHEN pair_id % 31 = 4 THEN 'Too short?' ELSE question END AS question, CASE WHEN pair_id % 37 = 5 THEN ' ' ELSE pos_qa_text END AS pos_qa_text) FROM pairs)),
  built AS (SELECT *, {_norm('coalesce(real, synth)')} AS question, CASE WHEN analysis IS NOT NULL AND (facts IS NOT NULL OR conclusion IS NOT NULL) THEN concat_ws(chr(10) || chr(10), facts, analysis, conclusion) END AS body FROM src),
  reasoned AS (SELECT *, CASE WHEN real IS NULL AND synth IS NULL THEN 'no_question' WHEN length(question) < 15 OR qa IS NULL OR full_text IS NULL THEN 'short_or_empty' END AS reason FROM built)"""
-_TRAIN = "held AS (SELECT DISTINCT opinion_id FROM pairs WHERE split_name <> 'train'), docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY pair_id) AS rn FROM pairs WHERE split_name = 'train' AND opinion_id IS NOT NULL) WHERE rn = 1)"
+_TRAIN = "held AS (SELECT opinion_id FROM pairs WHERE split_name <> 'train' AND opinion_id IS NOT NULL UNION SELECT opinion_id FROM heldout_pairs WHERE opinion_id IS NOT NULL), docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY pair_id) AS rn FROM pairs WHERE split_name = 'train' AND opinion_id IS NOT NULL) WHERE rn = 1)"
 _STATUTE = f"""cc AS ({_cites('docs', 'opinion_id', 'pos_full_text')}), codes AS (SELECT DISTINCT opinion_id AS doc_id, base AS code FROM cc WHERE kind = 'gov'),
  sn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_shared DESC, neg_id) AS rank FROM (SELECT a.doc_id, b.doc_id AS neg_id, count(*) AS n_shared FROM codes a JOIN codes b USING (code) WHERE a.doc_id <> b.doc_id AND b.doc_id NOT IN (SELECT opinion_id FROM held) GROUP BY ALL)) WHERE rank <= 5)"""
-_LEXNEG = f"""{_bm25('docs', 'opinion_id', 'pos_qa_text', '(SELECT * FROM docs WHERE pair_id % 20 = 0)', 'opinion_id', 'question', 'tl')},
- ln AS (SELECT query_id AS doc_id, doc_id AS neg_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS rank FROM (
+_LEXNEG = f"""{_bm25('docs', 'opinion_id', 'pos_full_text', '(SELECT * FROM docs WHERE pair_id % 20 = 0)', 'opinion_id', 'question', 'tl')},
+ ln AS (SELECT query_id AS doc_id, doc_id AS neg_id, rank, round_even(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rn) AS rank FROM (
    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM tl) WHERE rn <= 30 AND score > 0 AND doc_id <> query_id AND doc_id NOT IN (SELECT opinion_id FROM held)) WHERE rank <= 5)"""
 _DIMS3 = ["question_source", "topic_primary", "year"]
 _KEY = lambda c: f"md5('20260521|' || CAST({c} AS VARCHAR))"
@@ -195,9 +201,14 @@ SQL = {
     "leakage_pairs": f"WITH {_MEASURED} SELECT * FROM m",
     "leakage_buckets": f"WITH {_MEASURED}, b AS (SELECT query_id, " + ", ".join(f"max(CASE WHEN score >= 2 THEN {x} END) AS {x}" for x in ("token_jaccard", "char_jaccard_5", "query_overlap")) + " FROM m GROUP BY query_id) " + " UNION ALL ".join(f"SELECT '{x}' AS measure, count({x}) AS n, " + ", ".join(f"count_if({x} >= {t}) AS ge_{str(t)[2:]}" for t in (0.3, 0.5, 0.7, 0.85, 0.95)) + " FROM b" for x in ("token_jaccard", "char_jaccard_5", "query_overlap")),
     "leakage_best_match": f"WITH {_MEASURED} SELECT query_id, doc_id, query_overlap FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY query_overlap DESC NULLS LAST, doc_id) AS rn FROM m) WHERE rn = 1",
-    "leakage_stats": f"WITH {_MEASURED}, b AS (SELECT query_id, query_type, max(CASE WHEN score >= 1 THEN query_overlap END) AS v FROM m GROUP BY ALL) " + _rank_stats("b", "query_type"),
+    "leakage_stats": f"WITH {_MEASURED}, b AS ("
+    + " UNION ALL ".join(f"SELECT query_id, 'overall' AS group_kind, 'all' AS \"group\", '{x}_score{tag}' AS measure, max(CASE WHEN score >= {least} THEN {x} END) AS v FROM m GROUP BY query_id" for x in ("token_jaccard", "char_jaccard_5", "query_overlap") for least, tag in ((2, "2"), (1, "1plus")))
+    + " UNION ALL SELECT query_id, 'query_type', query_type, 'query_overlap_score2', max(CASE WHEN score = 2 THEN query_overlap END) FROM m GROUP BY query_id, query_type), s AS ("
+    + _rank_stats("b", 'group_kind, "group", measure')
+    + ') SELECT group_kind, "group", measure, n, ' + ", ".join(f"round_even({a}, 3) AS {b}" for a, b in (("mean", "mean"), ("median", "median"), ("q1", "p25"), ("q3", "p75"), ("max", "max"), ("min", "min"))) + " FROM s",
+    "leakage_missing": f"WITH {_QRELS} SELECT score, count(*) AS n, count_if(doc_id NOT IN (SELECT opinion_id FROM pairs WHERE opinion_id IS NOT NULL)) AS missing FROM qrels GROUP BY score",
     "judged_opinions": f"WITH {_QRELS} SELECT doc_id, max(score) AS best, count(*) AS n FROM qrels GROUP BY doc_id",
-    "bm25_top20": f"WITH {_OPS}, {_bm25('ops', 'doc_id', 'qa', 'eval_queries', 'query_id', 'query_text')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE rank <= 20 AND score > 0",
+    "bm25_top20": f"WITH {_OPS}, {_bm25('ops', 'doc_id', 'full_text', 'eval_queries', 'query_id', 'query_text')} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE rank <= 20 AND score > 0",
     "dense_top20": f"WITH {_DENSE} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM dense WHERE rank <= 20",
     "vector_norms": "SELECT count(*) AS n, count_if(NOT sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) BETWEEN 0.99 AND 1.01) AS off_norm FROM embeddings",
     "dense_binary": f"""WITH {_DENSE}, {_LABELS}, nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1), h AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM dense JOIN rel USING (query_id, doc_id) WHERE rank <= 100),
@@ -212,22 +223,39 @@ SQL = {
     "fusion_paths": f"WITH {_SWEEP} SELECT run_id, path, count(*) AS n FROM diag GROUP BY ALL",
     "fusion_per_query": f"WITH {_PERQ} SELECT run_id, query_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in ("mrr", "ndcg_5", "ndcg_10", "p_5", "p_10", "r_10", "r_20")) + " FROM per",
     "fusion_metrics": f"WITH {_GROUPED} SELECT * FROM g",
-    "best_trial": f"WITH {_GROUPED} SELECT run_id, ndcg_5 FROM g WHERE group_kind = 'overall' ORDER BY ndcg_5 DESC, run_id LIMIT 1",
-    "run_wins": f"WITH {_DELTA} SELECT 'overall' AS group_kind, 'all' AS \"group\", {_WIN} UNION ALL SELECT 'query_type', query_type, {_WIN} GROUP BY query_type UNION ALL SELECT 'query_topic', query_topic, {_WIN} GROUP BY query_topic",
+    "best_trial": f"WITH {_GROUPED} SELECT run_id, ndcg_5 FROM g WHERE group_kind = 'overall' ORDER BY ndcg_5 DESC, list_position(['w60', 'w40_all', 'lexical_all', 'by_type', 'boost'], run_id) LIMIT 1",
+    "run_wins": f"WITH {_DELTA5} SELECT 'overall' AS group_kind, 'all' AS \"group\", {_WIN} UNION ALL SELECT 'query_type', query_type, {_WIN} GROUP BY query_type UNION ALL SELECT 'query_topic', query_topic, {_WIN} GROUP BY query_topic UNION ALL SELECT 'path', path, {_WIN} GROUP BY path",
+    "run_join": f"WITH {_PERQ} SELECT query_id, " + ", ".join(f"round(max(CASE WHEN run_id = '{r}' THEN ndcg_10 END), 6) AS {r}" for r in ("w60", "w40_all", "lexical_all", "by_type", "boost")) + ", CAST(5 - count(DISTINCT run_id) AS INT) AS missing FROM per GROUP BY query_id",
+    "topic_mean": f"WITH {_DELTA5} SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(delta), 6) AS mean_delta FROM dl5 JOIN eval_queries USING (query_id) WHERE query_topic = 'conflicts_of_interest'",
+    "fusion_adaptive": f"WITH {_ADAPTED} SELECT run_id, query_id, path, round(w_sem, 6) AS w_sem, round(sem_top1, 6) AS sem_top1, round(sem_mean, 6) AS sem_mean FROM diag",
     "largest_changes": f"WITH {_DELTA} SELECT query_id, round(a, 6) AS a, round(b, 6) AS b, round(delta, 6) AS delta, CASE WHEN round(delta, 9) > 0 THEN '+' WHEN round(delta, 9) < 0 THEN '-' ELSE '=' END AS mark FROM dl ORDER BY abs(round(delta, 9)) DESC, query_id LIMIT 20",
     "oracle_mean": f"WITH {_DELTA} SELECT count(*) AS n, round(avg(greatest(a, b)), 6) AS oracle FROM dl",
     "metric_pivot": f"WITH {_GROUPED} SELECT group_kind, \"group\", " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN ndcg_10 END) AS {r}" for r in ("w60", "w40_all", "lexical_all", "by_type", "boost")) + " FROM g GROUP BY ALL",
     "side_by_side": f"WITH {_SWEEP} SELECT query_id, rank, " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN doc_id || '|' || coalesce(CAST(q.score AS VARCHAR), '') END) AS {r}" for r in ("w60", "w40_all")) + " FROM run LEFT JOIN (SELECT query_id, doc_id, score FROM qrels) q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL",
-    "gold_ranks": f"WITH {_OPS}, {_QRELS}, {_bm25('ops', 'doc_id', 'qa', 'eval_queries', 'query_id', 'query_text')}, r AS (SELECT * FROM (SELECT query_id, doc_id, score AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE rank <= 1000 AND s > 0), x AS (SELECT query_id, score, coalesce(rank, 99999) AS rank FROM qrels LEFT JOIN r USING (query_id, doc_id) WHERE score >= 1) SELECT query_id, coalesce(min(CASE WHEN score = 2 THEN rank END), 99999) AS best_rank, count_if(score = 2 AND rank <= 100) AS gold2_100, count_if(rank <= 100) AS any_100, count_if(rank <= 1000) AS any_1000 FROM x GROUP BY query_id",
+    "gold_ranks": f"WITH {_OPS}, {_QRELS}, {_bm25('ops', 'doc_id', 'full_text', 'eval_queries', 'query_id', 'query_text')}, r AS (SELECT * FROM (SELECT query_id, doc_id, score AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lex) WHERE s > 0), x AS (SELECT query_id, score, coalesce(rank, 99999) AS rank FROM qrels LEFT JOIN r USING (query_id, doc_id) WHERE score >= 1) SELECT query_id, coalesce(min(CASE WHEN score = 2 THEN rank END), 99999) AS best_rank, count_if(score = 2 AND rank <= 100) AS gold2_100, count_if(rank <= 100) AS any_100, count_if(rank <= 1000) AS any_1000 FROM x GROUP BY query_id",
+    "dense_gold_ranks": f"WITH {_OPS}, {_QRELS}, qv AS (SELECT query_id, {_UNIT('query_text')} AS q FROM eval_queries), dv AS (SELECT doc_id, {_UNIT('qa')} AS d FROM ops), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(list_inner_product(q, d), 9) AS s FROM qv CROSS JOIN dv WHERE q IS NOT NULL AND d IS NOT NULL)), x AS (SELECT query_id, score, coalesce(rank, 99999) AS rank FROM qrels LEFT JOIN r USING (query_id, doc_id) WHERE score >= 1) SELECT query_id, coalesce(min(CASE WHEN score = 2 THEN rank END), 99999) AS best_rank, count_if(score = 2 AND rank <= 100) AS gold2_100, count_if(rank <= 100) AS any_100, count_if(rank <= 1000) AS any_1000 FROM x GROUP BY query_id",
     "lexical_negatives": f"WITH {_TRAIN}, {_LEXNEG} SELECT doc_id, neg_id, rank, score FROM ln",
     "hard_negatives": f"""WITH {_TRAIN}, {_STATUTE}, {_LEXNEG}, s AS (SELECT doc_id, neg_id, n_shared, rank AS s_rank FROM sn WHERE doc_id IN (SELECT opinion_id FROM docs WHERE pair_id % 20 = 0))
  SELECT doc_id, neg_id, CASE WHEN rank IS NULL THEN 'same_statute' WHEN s_rank IS NULL THEN 'bm25' ELSE 'bm25+same_statute' END AS source, rank, score, n_shared, row_number() OVER (PARTITION BY doc_id ORDER BY rank NULLS LAST, s_rank, neg_id) AS ordinal FROM ln FULL OUTER JOIN s USING (doc_id, neg_id)""",
     "anchor_mix": "SELECT CASE WHEN b AND s THEN 'mixed' WHEN b THEN 'bm25_only' WHEN s THEN 'statute_only' ELSE 'empty' END AS mix, count(*) AS n FROM (SELECT DISTINCT opinion_id AS a FROM pairs WHERE split_name = 'train') LEFT JOIN (SELECT anchor_id AS a, bool_or(contains(lower(trim(source)), 'bm25')) AS b, bool_or(contains(lower(trim(source)), 'same_statute')) AS s FROM neg_records GROUP BY 1) USING (a) GROUP BY 1",
+    "negative_list_summary": "SELECT count(*) AS n, round_even(avg(l), 3) AS mean, min(l) AS least, max(l) AS most FROM (SELECT a, count(neg_id) AS l FROM (SELECT DISTINCT opinion_id AS a FROM pairs WHERE split_name = 'train') LEFT JOIN (SELECT anchor_id AS a, 1 AS neg_id FROM neg_records) USING (a) GROUP BY a)",
     "negative_list_lengths": "SELECT length, count(*) AS n FROM (SELECT anchor_id, count(*) AS length FROM neg_records WHERE anchor_id IS NOT NULL GROUP BY 1) GROUP BY 1",
     "training_rows": f"""WITH {_OPS}, n AS (SELECT anchor_id AS opinion_id, qa, row_number() OVER (PARTITION BY anchor_id ORDER BY neg_id, x.opinion_id) AS k FROM (SELECT DISTINCT anchor_id, opinion_id, neg_id FROM neg_records WHERE anchor_id IS NOT NULL) x JOIN ops ON x.opinion_id = ops.doc_id WHERE length(qa) > 0),
  l AS (SELECT opinion_id, string_agg(md5('passage: ' || qa), ',' ORDER BY k) AS negatives FROM n WHERE k <= 2 GROUP BY 1 HAVING count(*) = 2)
- SELECT pair_id, 'query: ' || question AS anchor, length('passage: ' || pos_body) AS n_positive, negatives, md5('42|' || pair_id) AS shuffle_key FROM pairs JOIN l USING (opinion_id) WHERE split_name = 'train' AND length(coalesce(pos_body, '')) > 0 AND opinion_id NOT IN (SELECT opinion_id FROM pairs WHERE split_name <> 'train')""",
-    "chunks": """WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x{0b}]+'), lambda x: x <> '') AS t FROM documents), d AS (SELECT *, len(t) AS l, CAST(least(greatest(1, ceil(len(t) / 128.0)), 4) AS INT) AS n FROM t WHERE len(t) > 0),
+ SELECT pair_id, 'query: ' || question AS anchor, length('passage: ' || pos_body) AS n_positive, negatives, md5('42|' || pair_id) AS shuffle_key FROM pairs JOIN l USING (opinion_id) WHERE split_name = 'train' AND length(coalesce(pos_body, '')) > 0 AND opinion_id NOT IN (SELECT opinion_id FROM pairs WHERE split_name <> 'train') AND opinion_id NOT IN (SELECT opinion_id FROM heldout_pairs)""",
+    "question_index": f"WITH {_OPS} SELECT doc_id, {_norm('question')} AS question, length(full_text) AS n_chars FROM ops",
+    "extra_pairs": """WITH a AS (SELECT event_id + 1000000 AS pair_id, event_type, user_id FROM events WHERE event_id % 4 < 2 AND trim(event_type) <> '')
+ SELECT pair_id, year, question, question_source FROM pairs UNION ALL SELECT pair_id, year, event_type, 'synthetic_keyword' FROM pairs JOIN a USING (pair_id) UNION ALL SELECT pair_id, year, 'seen by ' || user_id, 'synthetic_fact_pattern' FROM pairs JOIN a USING (pair_id)""",
+    "training_report": f"""WITH {_OPS}, n AS (SELECT anchor_id AS opinion_id, row_number() OVER (PARTITION BY anchor_id ORDER BY neg_id) AS k FROM (SELECT DISTINCT anchor_id, opinion_id, neg_id FROM neg_records WHERE anchor_id IS NOT NULL) x JOIN ops ON x.opinion_id = ops.doc_id WHERE length(qa) > 0),
+ enough AS (SELECT opinion_id FROM n GROUP BY 1 HAVING count(*) >= 2),
+ c AS (SELECT CASE WHEN opinion_id IN (SELECT opinion_id FROM pairs WHERE split_name <> 'train') OR opinion_id IN (SELECT opinion_id FROM heldout_pairs) THEN 'dropped_val_overlap' WHEN length(coalesce(pos_body, '')) = 0 THEN 'dropped_poscol_null' WHEN opinion_id NOT IN (SELECT opinion_id FROM enough) THEN 'dropped_insufficient_hard_negs' ELSE 'training_rows' END AS o FROM pairs)
+ SELECT 'input_pairs' AS outcome, count(*) AS n FROM c UNION ALL SELECT outcome, (SELECT count(*) FROM c WHERE o = outcome) FROM (VALUES ('dropped_val_overlap'), ('dropped_poscol_null'), ('dropped_insufficient_hard_negs'), ('training_rows')) v(outcome)""",
+    "val_evaluator": f"""WITH rows AS (SELECT pair_id AS id, question, pos_qa_text FROM (SELECT *, row_number() OVER (PARTITION BY opinion_id ORDER BY pair_id DESC) AS rn FROM pairs WHERE split_name = 'val' AND opinion_id IS NOT NULL AND length(coalesce(pos_qa_text, '')) > 0) WHERE rn = 1),
+ qv AS (SELECT id, {_UNIT('question')} AS q FROM rows), dv AS (SELECT id, {_UNIT('pos_qa_text')} AS d FROM rows),
+ r AS (SELECT a, rank FROM (SELECT qv.id AS a, dv.id AS b, row_number() OVER (PARTITION BY qv.id ORDER BY round(list_inner_product(q, d), 9) DESC, -dv.id) AS rank FROM qv CROSS JOIN dv WHERE q IS NOT NULL AND d IS NOT NULL) WHERE a = b AND rank <= 100),
+ x AS (SELECT coalesce(rank, 1000000000) AS r FROM rows LEFT JOIN r ON r.a = rows.id)
+ SELECT count(*) AS n_queries, """ + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0.0 END), 6) AS accuracy_{k}" for k in (1, 3, 5)) + ", " + ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0 / {k} ELSE 0.0 END), 6) AS precision_{k}, round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}, round(avg(CASE WHEN r <= {k} THEN 1 / log2(r + 1) ELSE 0.0 END), 6) AS ndcg_{k}, round(avg(CASE WHEN r <= {k} THEN 1.0 / r ELSE 0.0 END), 6) AS mrr_{k}" for k in (5, 10)) + ", round(avg(CASE WHEN r <= 100 THEN 1.0 / r ELSE 0.0 END), 6) AS map_100 FROM x",
+    "chunks": """WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x{0b}]+'), lambda x: x <> '') AS t FROM documents), d AS (SELECT *, len(t) AS l, CAST(greatest(1, ceil(len(t) / 128.0)) AS INT) AS n FROM t WHERE len(t) > 0),
  s AS (SELECT *, CAST(('0x' || substring(md5('42|' || doc_id), 1, 8))::BIGINT % (greatest(0, l - n * 128) + 1) AS INT) AS start FROM d), c AS (SELECT doc_id, CAST(k AS INT) AS chunk, t[start + k * 128 + 1 : start + k * 128 + 128] AS tokens FROM (SELECT *, unnest(range(0, n)) AS k FROM s))
  SELECT doc_id, chunk, len(tokens) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens FROM c WHERE len(tokens) >= 32""",
     "resume": "SELECT pair_id FROM pairs WHERE opinion_id NOT IN (SELECT anchor_id FROM neg_records WHERE anchor_id IS NOT NULL)",

@@ -62,6 +62,28 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | No
     return spark.read.schema(schema).json(path, multiLine=True) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
 
 
+METRIC_KEYS = {"mrr": "mrr", "ndcg@5": "ndcg_5", "ndcg@10": "ndcg_10", "p@5": "p_5", "p@10": "p_10", "r@10": "r_10", "r@20": "r_20"}
+
+
+def read_run(spark: SparkSession, path: str, run_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(groups, per_query) of run result files (one JSON object each, with overall, by_type, by_topic and per_query), as the metric tables have them.
+
+    groups: run_id, group_kind, group, metrics; per_query: run_id, query_id, metrics. run_id: as given, else the record's label or engine_name,
+    else its file's folder. Missing parts give no rows, missing metrics nulls. Many files are read as one table.
+    """
+    m = "map<string,double>"
+    schema = f"label string, engine_name string, overall {m}, by_type map<string,{m}>, by_topic map<string,{m}>, per_query array<struct<query_id:string,metrics:{m}>>"
+    folder = F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)
+    x = spark.read.schema(schema).json(path, multiLine=True).withColumn("run_id", F.lit(run_id) if run_id else F.coalesce("label", "engine_name", folder))
+    cells = lambda c: [F.try_element_at(c, F.lit(k)).alias(v) for k, v in METRIC_KEYS.items()]
+    row = lambda kind, group, values: F.struct(F.lit(kind).alias("group_kind"), group.alias("group"), values.alias("m"))
+    of = lambda c, kind: F.transform(F.coalesce(F.map_entries(c), F.array()), lambda e: row(kind, e["key"], e["value"]))
+    all_ = F.filter(F.array(row("overall", F.lit("all"), F.col("overall"))), lambda r: r["m"].isNotNull())
+    g = x.select("run_id", F.explode(F.concat(all_, of("by_type", "query_type"), of("by_topic", "query_topic"))).alias("x")).select("run_id", "x.group_kind", "x.group", *cells(F.col("x.m")))
+    per = x.select("run_id", F.explode("per_query").alias("x")).select("run_id", "x.query_id", *cells(F.col("x.metrics")))
+    return g, per
+
+
 def read_vectors(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Vectors as stored, with `norm` of every row."""
     norm = F.sqrt(F.aggregate(F.col(vec_col), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -26,5 +26,18 @@ def stream_metrics(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def append_new(stream: DataFrame, id_col: str, out: str, checkpoint: str):
-    """Starts a stream that appends rows with new ids to `out` as JSON, each id once over restarts (state is kept in the checkpoint)."""
-    return stream.dropDuplicates([id_col]).writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Starts a stream that appends rows with new ids to `out` as JSON, each id once over restarts.
+
+    Every batch is held against the ids that are there, so no state grows with the log, and a batch that is tried again adds nothing.
+    """
+    schema = stream.schema
+
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+        new = batch.dropDuplicates([id_col])
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            new = new.join(spark.read.schema(schema).json(out).select(id_col), id_col, "left_anti").select(*batch.columns)
+        new.write.mode("append").json(out)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -53,3 +53,29 @@ def test_metrics_log(spark, tmp_path):
         q = append_new(spark.readStream.schema("id string").json(src), "id", str(tmp_path / "done"), str(tmp_path / "ck"))
         q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.json(str(tmp_path / "done")).collect()) == ["a", "b"]
+
+
+def test_read_run(spark, tmp_path):
+    import json
+
+    from lodestar.sources.io import read_run
+
+    m = {"mrr": 0.5, "ndcg@5": 0.25, "r@20": 1.0}
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "m.json").write_text(json.dumps({"label": "t1", "overall": m, "by_type": {"keyword": m}, "by_topic": {"gifts": m, "other": m}, "per_query": [{"query_id": "q1", "metrics": m}]}, indent=2))
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "m.json").write_text(json.dumps({"overall": m}))
+    groups, per = read_run(spark, str(tmp_path / "*"))
+    assert sorted((r["run_id"], r["group_kind"], r["group"], r["ndcg_5"], r["p_5"]) for r in groups.collect()) == [
+        ("t1", "overall", "all", 0.25, None), ("t1", "query_topic", "gifts", 0.25, None), ("t1", "query_topic", "other", 0.25, None), ("t1", "query_type", "keyword", 0.25, None), ("two", "overall", "all", 0.25, None),
+    ]
+    assert [(r["run_id"], r["query_id"], r["mrr"]) for r in per.collect()] == [("t1", "q1", 0.5)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestar.cli import main
+
+    spark.createDataFrame([(1, " 1. May we? ")], "pair_id int, question string").write.parquet(f"{tmp_path}/pairs.parquet")
+    assert main([]) == 0 and "normalize_question" in capsys.readouterr().out
+    assert main(["normalize_question", "--tables", str(tmp_path), "--out", f"{tmp_path}/out", "--format", "json"]) == 0
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/normalize_question").select("pair_id", "question").collect()] == [(1, "May we?")]

@@ -1,3 +1,4 @@
+import random
 import math
 import statistics
 
@@ -150,8 +151,16 @@ def test_compare(spark):
     d = compare.deltas(per, "a", "b", "m")
     q = spark.createDataFrame([("1", "x"), ("2", "x")], "query_id string, t string")
     r = compare.wins(d, q, ["t"]).filter("group_kind = 'overall'").first()
-    assert (r["n"], r["wins"], r["losses"], r["flat"]) == (2, 1, 0, 1)
+    # a change of exactly the margin is a win or a loss
+    assert (r["n"], r["wins"], r["losses"], r["flat"]) == (2, 1, 1, 0)
+    rows = [(run, str(i), 0.5 + (d if run == "b" else 0.0)) for i, d in enumerate((0.05, -0.05, 0.049, -0.049, 0.0)) for run in "ab"]
+    r = compare.wins(compare.deltas(spark.createDataFrame(rows, "run_id string, query_id string, m double"), "a", "b", "m"), spark.createDataFrame([(str(i), "x") for i in range(5)], "query_id string, t string"), ["t"]).first()
+    assert (r["n"], r["wins"], r["losses"], r["flat"]) == (5, 1, 1, 3)
     assert compare.oracle_mean(per, "a", "b", "m").first()["oracle"] == 0.55
+    assert sorted(map(tuple, compare.join_runs(per, ["a", "b", "c"], "m").collect())) == [("1", 0.5, 0.6, None, 1), ("2", 0.5, 0.45, None, 1), ("3", 0.5, None, None, 2)]
+    assert tuple(compare.filtered_mean(d, q, "t", "x").first()) == (2, 0.5, 0.525, 0.025) and compare.filtered_mean(d, q, "t", "none").first()["n"] == 0
+    groups = spark.createDataFrame([("z", "overall", 0.5), ("a", "overall", 0.5), ("b", "overall", 0.4), ("b", "t", 0.9)], "run_id string, group_kind string, m double")
+    assert compare.best_trial(groups, "m", ["b", "z", "a"]).first()["run_id"] == "z"  # the first of equal ones in the order of trials
 
 
 def test_chunks(spark):
@@ -231,3 +240,53 @@ def test_gold_ranks_query_has_no_cut(spark, tmp_path):
     judged = [("q1", "gift", [("d1249", 2), ("d0004", 1), ("d1205", 1)])]
     spark.createDataFrame(judged, "query_id string, query_text string, relevance_judgments array<struct<opinion_id:string,score:int>>").write.parquet(f"{tmp_path}/eval_queries.parquet")
     assert [tuple(r) for r in catalog.queries()["gold_ranks"](spark, str(tmp_path)).collect()] == [("q1", 1250, 0, 1, 1)]
+
+
+@pytest.mark.parametrize("holders", [1, 3, 20])
+def test_common_codes_make_no_pairs_but_the_same_neighbours(spark, holders):
+    rng = random.Random(holders)
+    rows = {(f"d{i:02d}", str(c)) for i in range(40) for c in ({rng.randrange(30) for _ in range(rng.randint(0, 4))} | ({100} if rng.random() < 0.7 else set()) | ({101} if rng.random() < 0.5 else set()))}
+    codes = spark.createDataFrame(sorted(rows), "doc_id string, code string")
+    asked = spark.createDataFrame([(f"d{i:02d}",) for i in range(0, 40, 3)], "doc_id string")
+    gone = spark.createDataFrame([("d01",), ("d02",)], "id string")
+    of = {}
+    for d, c in rows:
+        of.setdefault(d, set()).add(c)
+    want = []
+    for i in range(0, 40, 3):
+        d = f"d{i:02d}"
+        near = sorted((-len(of.get(d, set()) & cs), n) for n, cs in of.items() if n != d and n not in ("d01", "d02") and of.get(d, set()) & cs)[:5]
+        want += [(d, n, -k, r + 1) for r, (k, n) in enumerate(near)]
+    got = sorted(map(tuple, citations.statute_neighbours(asked, codes, gone, 5, holders).collect()))
+    assert got == sorted(want)
+
+
+def test_full_ranks(spark):
+    q = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "query_id string, v array<double>")
+    d = spark.createDataFrame([(f"d{i}", [float(i // 2), 1.0]) for i in range(9)] + [("null", None)], "doc_id string, v array<double>").repartition(3)
+    rel = spark.createDataFrame([("q", "d8"), ("q", "d1"), ("q", "d0"), ("q", "gone"), ("q", "null"), ("none", "d1")], "query_id string, doc_id string")
+    assert sorted(map(tuple, vector.full_ranks(q, d, rel).collect())) == [("q", "d0", 8), ("q", "d1", 9), ("q", "d8", 1)]
+
+
+def test_training_report_and_extra_pairs(spark):
+    p = spark.createDataFrame([(1, "a", "x"), (2, "v", "x"), (3, "b", ""), (4, "c", None), (5, "d", "x")], "pair_id int, opinion_id string, body string")
+    made = spark.createDataFrame([(1,)], "pair_id int")
+    got = {r["outcome"]: r["n"] for r in pairs.training_report(p, spark.createDataFrame([("v",), ("v",)], "id string"), "body", made).collect()}
+    assert got == {"input_pairs": 5, "dropped_val_overlap": 1, "dropped_poscol_null": 2, "dropped_insufficient_hard_negs": 1, "training_rows": 1}
+    both = pairs.with_extra(p, spark.createDataFrame([(9, "e")], "pair_id int, opinion_id string"))
+    assert both.count() == 6 and both.filter("pair_id = 9").first()["body"] is None
+
+
+def test_leakage_summary_and_missing(spark):
+    rows = [(f"q{i}", "k", "d", 2 if i < 5 else 1, 0.1 * i, 0.2, 0.0625) for i in range(6)] + [("n", "k", "d", 2, None, None, None)]
+    m = spark.createDataFrame(rows, "query_id string, query_type string, doc_id string, score int, token_jaccard double, char_jaccard_5 double, query_overlap double")
+    got = {(r["group_kind"], r["measure"]): r for r in leakage.summary(m).collect()}
+    assert len(got) == 7 and (got["overall", "token_jaccard_score2"]["n"], got["overall", "token_jaccard_score1plus"]["n"]) == (5, 6)
+    assert got["query_type", "query_overlap_score2"]["mean"] == 0.062  # halves to even
+    rel = spark.createDataFrame([("q", "a", 2), ("q", "gone", 2), ("q", "b", 1)], "query_id string, doc_id string, score int")
+    assert sorted(map(tuple, leakage.missing(rel, spark.createDataFrame([("a",), ("b",), ("a",)], "doc_id string")).collect())) == [(1, 1, 0), (2, 2, 1)]
+
+
+def test_lexical_route_takes_no_more_than_the_pool(spark):
+    with pytest.raises(ValueError):
+        fusion.search(None, None, None, None, [], k=101)
