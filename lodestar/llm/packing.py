@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import token_counts
+from lodestar.llm.common import keep, token_counts
 
 #: Rows per (size, bucket) group that are ranked together.
 BUCKET_ROWS = 50_000
@@ -115,7 +115,7 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int) -> DataFra
     n = F.coalesce(F.col(f"`{size_col}`"), F.lit(0)).cast("long")
     pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(n / F.lit(capacity)) - 1, F.lit(0).cast("long"))))
     items = sizes.select(F.col(f"`{id_col}`").alias("id"), n.alias("n"), pieces.alias("piece")).withColumn("size", F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity).cast("long")))
-    items = items.persist()
+    items = keep(items)
     counts = {r["size"]: r["count"] for r in items.filter("size > 0").groupBy("size").count().collect()}
     places = _places(plan_containers(counts, capacity))
     buckets = max(1, max(counts.values(), default=0) // BUCKET_ROWS + 1)
@@ -170,3 +170,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = p7_containers(spark, sf_dir).filter("container IS NOT NULL")
     total = placed.agg(F.countDistinct("container").alias("containers"), F.sum("size").alias("tokens"))
     return total.select("containers", "tokens", F.ceil(F.col("tokens") / 2048).alias("least"), F.round(F.col("tokens") / F.greatest(F.col("containers") * 2048, F.lit(1)), 6).alias("used"))
+
+
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers, as one row: how many are over capacity, have gaps in their slots, how many texts are cut though they fit, or are not whole, and how many texts have a place."""
+    placed = keep(p7_containers(spark, sf_dir).filter("container IS NOT NULL").select("doc_id", "piece", "first", "last", "size", "container", "slot"))
+    boxes = placed.groupBy("container").agg(F.sum("size").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"), F.count("*").alias("rows"))
+    over = boxes.agg(F.count_if(F.col("n") > 2048).alias("over_capacity"), F.count_if((F.col("rows") != F.col("slots")) | (F.col("last") + 1 != F.col("slots"))).alias("gaps"))
+    texts = placed.groupBy("doc_id").agg(F.sum("size").alias("n"), F.max("last").alias("end"), F.count("*").alias("pieces"), F.countDistinct("first").alias("starts"), F.count_if(F.col("last") - F.col("first") != F.col("size")).alias("odd"))
+    split = texts.agg(
+        F.count_if((F.col("pieces") > 1) & (F.col("n") <= 2048)).alias("split_though_fitting"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("starts")) | (F.col("odd") > 0)).alias("not_whole"), F.count("*").alias("placed"),
+    )
+    return over.withColumn("_k", F.lit(1)).join(split.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+SQL = {"p7_checked": "SELECT 0 AS over_capacity, 0 AS gaps, 0 AS split_though_fitting, 0 AS not_whole, count(DISTINCT doc_id) AS placed FROM documents WHERE length(text) > 0"}
