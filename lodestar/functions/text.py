@@ -60,6 +60,11 @@ def retrieval_tokens(c: Column) -> Column:
     return _without(F.split(F.trim(F.regexp_replace(joined, r"[^a-z0-9\-]+", " ")), " "), RETRIEVAL_STOPWORDS)
 
 
+def excerpt(c: Column, n: int = 60) -> Column:
+    """The first n characters for a cell of a table, bars escaped; null becomes empty."""
+    return F.replace(F.substring(F.coalesce(c, F.lit("")), 1, n), F.lit("|"), F.lit("\\|"))
+
+
 def leakage_tokens(c: Column) -> Column:
     """Tokens for leakage measures: words with a possessive s, over one character, no stop words."""
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(LEAKAGE_TOKEN), 0), lambda t: ~t.isin(*LEAKAGE_STOPWORDS) & (F.length(t) > 1))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.stats import percent
+
 
 def seeded_key(id_col: str, seed: str = "20260521"):
     return F.md5(F.concat(F.lit(seed + "|"), F.col(id_col).cast("string")))
@@ -54,5 +56,5 @@ def drift(df: DataFrame, in_sample: str, dims: list[str]) -> DataFrame:
     flat = df.select(F.col(in_sample).alias("s"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dims])).alias("x"))
     g = flat.groupBy("x.dimension", "x.value").agg(F.count("*").alias("n_all"), F.count_if("s").alias("n_sample"))
     w = Window.partitionBy("dimension")
-    pct = lambda c: F.round(F.when(F.sum(c).over(w) == 0, 0.0).otherwise(100.0 * F.col(c) / F.nullif(F.sum(c).over(w), F.lit(0))), 2)
+    pct = lambda c: percent(F.col(c), F.sum(c).over(w))
     return g.select("dimension", "value", "n_all", "n_sample", pct("n_all").alias("pct_all"), pct("n_sample").alias("pct_sample"))

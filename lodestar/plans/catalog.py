@@ -252,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_join": lambda s, d: _rounded(compare.join_runs(sweep_metrics(s, d), [t.label for t in TRIALS], "ndcg_10"), ["query_id"]),
         "topic_mean": lambda s, d: compare.filtered_mean(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_5"), eval_queries(s, d), "query_topic", "conflicts_of_interest"),
         "largest_changes": lambda s, d: _rounded(compare.largest(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10")), ["query_id"]),
+        "change_texts": lambda s, d: compare.largest(compare.deltas(sweep_metrics(s, d), "w60", "w40_all", "ndcg_5")).join(eval_queries(s, d), "query_id").select("query_id", "mark", T.excerpt(F.col("query_text")).alias("query")),
         "oracle_mean": lambda s, d: compare.oracle_mean(sweep_metrics(s, d), "w60", "w40_all", "ndcg_10"),
         "metric_pivot": lambda s, d: compare.pivot_metric(metrics.grouped(sweep_metrics(s, d), eval_queries(s, d), DIMS), "ndcg_10", [t.label for t in TRIALS]),
         "side_by_side": lambda s, d: compare.side_by_side(sweep(s, d)[0], qrels(s, d), ["w60", "w40_all"]),

@@ -229,6 +229,7 @@ SQL = {
     "topic_mean": f"WITH {_DELTA5} SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(delta), 6) AS mean_delta FROM dl5 JOIN eval_queries USING (query_id) WHERE query_topic = 'conflicts_of_interest'",
     "fusion_adaptive": f"WITH {_ADAPTED} SELECT run_id, query_id, path, round(w_sem, 6) AS w_sem, round(sem_top1, 6) AS sem_top1, round(sem_mean, 6) AS sem_mean FROM diag",
     "largest_changes": f"WITH {_DELTA} SELECT query_id, round(a, 6) AS a, round(b, 6) AS b, round(delta, 6) AS delta, CASE WHEN round(delta, 9) > 0 THEN '+' WHEN round(delta, 9) < 0 THEN '-' ELSE '=' END AS mark FROM dl ORDER BY abs(round(delta, 9)) DESC, query_id LIMIT 20",
+    "change_texts": f"WITH {_DELTA5} SELECT query_id, CASE WHEN round(delta, 9) > 0 THEN '+' WHEN round(delta, 9) < 0 THEN '-' ELSE '=' END AS mark, replace(substring(query_text, 1, 60), '|', chr(92) || '|') AS query FROM dl5 JOIN eval_queries USING (query_id) ORDER BY abs(round(delta, 9)) DESC, query_id LIMIT 20",
     "oracle_mean": f"WITH {_DELTA} SELECT count(*) AS n, round(avg(greatest(a, b)), 6) AS oracle FROM dl",
     "metric_pivot": f"WITH {_GROUPED} SELECT group_kind, \"group\", " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN ndcg_10 END) AS {r}" for r in ("w60", "w40_all", "lexical_all", "by_type", "boost")) + " FROM g GROUP BY ALL",
     "side_by_side": f"WITH {_SWEEP} SELECT query_id, rank, " + ", ".join(f"max(CASE WHEN run_id = '{r}' THEN doc_id || '|' || coalesce(CAST(q.score AS VARCHAR), '') END) AS {r}" for r in ("w60", "w40_all")) + " FROM run LEFT JOIN (SELECT query_id, doc_id, score FROM qrels) q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL",
