@@ -152,7 +152,7 @@ def usual(kind: str, n_bytes: int) -> float:
 
 def punctuation_limit(z: float, redundant: float) -> float:
     """Sentence ends per word below which a block's redundancy is confirmed: well under the usual 1 in 20 at the threshold, more for what is far beyond it."""
-    return min(0.02 + 0.005 * (-z - redundant), 0.08)
+    return min(0.02 + 0.007 * (-z - redundant), 0.08)
 
 
 def judge(blocks, aside: int, lang: str, norms: dict, redundant: float = 4.0) -> tuple[float, float, float]:
