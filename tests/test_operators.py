@@ -290,3 +290,53 @@ def test_leakage_summary_and_missing(spark):
 def test_lexical_route_takes_no_more_than_the_pool(spark):
     with pytest.raises(ValueError):
         fusion.search(None, None, None, None, [], k=101)
+
+
+@pytest.mark.parametrize("block, doc_block", [(100, 100), (100, 7), (3, 7)])
+def test_bm25_best_is_the_first_of_all_scores(spark, monkeypatch, block, doc_block):
+    monkeypatch.setattr(bm25, "BLOCK", block)
+    monkeypatch.setattr(bm25, "DOC_BLOCK", doc_block)
+    words = "gift rule board member city water 87103(a) council lease the".split()
+    # many copies, so ties by id decide what is among the first
+    df = spark.createDataFrame([(f"d{k:02}", " ".join(words[j] for j in range(10) for _ in range((k % 9) * (j + 3) % 4))) for k in range(60)] + [("null", None), ("none", "zzz")], "id string, t string").repartition(3)
+    q = [("q1", "gift rule"), ("q2", "water council council"), ("q3", "87103(a) lease"), ("q4", "unheard word"), ("q5", "the"), ("q6", "city gift water lease"), ("q7", "zzz")]
+    terms = bm25.query_terms(spark.createDataFrame(q, "q string, t string"), "q", "t")
+    first = lambda s: [(r["query_id"], r["doc_id"], r["rank"], round(r["score"], 9)) for r in bm25.top_k(s, 4).orderBy("query_id", "rank").collect()]
+    best = bm25.best(df, "id", "t", terms, 4)
+    assert first(best) == first(bm25.scores(df, "id", "t", terms)) and len(first(best)) == 4 * 4 + 1
+    # candidates only: 4 of each query for every block that a task has seen, not every document with a common term
+    assert best.count() < bm25.scores(df, "id", "t", terms).count() and bm25.best(df.limit(0), "id", "t", terms, 4).count() == 0
+
+
+def test_lexical_negatives_make_no_row_of_every_pair(spark, tmp_path):
+    from lodestar.plans import catalog
+
+    rows = [(k, f"o{k:03}", "gift rule city board", f"gift rule city board {k % 7} {'lease ' * (k % 11)}", "train") for k in range(400)]
+    spark.createDataFrame(rows, "pair_id long, opinion_id string, question string, pos_full_text string, split_name string").coalesce(1).write.parquet(f"{tmp_path}/pairs.parquet")
+    spark.createDataFrame([], "opinion_id string").write.parquet(f"{tmp_path}/heldout_pairs.parquet")
+    made = []
+
+    def cut(scored, *rest, **more):
+        made.append(scored.count())
+        return negatives_of(scored, *rest, **more)
+
+    negatives_of, negatives.lexical_negatives = negatives.lexical_negatives, cut
+    try:
+        assert catalog.lexical_negatives(spark, str(tmp_path)).count() == 20 * 5
+    finally:
+        negatives.lexical_negatives = negatives_of
+    # 20 opinions asked; all 8,000 pairs share terms
+    assert made[0] <= 20 * 30 * 4
+
+
+def test_token_lists_are_the_retrieval_tokens(spark):
+    import pyarrow as pa
+
+    from lodestar.functions import text as T
+
+    odd = ["", " ", "-", "--a b", "§ 87103(a)(2) and 1(b)2(c)", "İstanbul K 5(A)", "a\x00b", "\n\n", "the", "É x\x85y z", "𝒳 gift-", " The GIFT, the rule. ", "(a) a1(b)(c)"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string").orderBy("k")
+    lower = [r[0] for r in df.select(F.lower("t")).collect()]
+    want = [r[0] for r in df.select(T.retrieval_tokens(F.col("t"))).collect()]
+    assert T.retrieval_token_lists(pa.array(lower, pa.string())).to_pylist() == want
+    assert T.retrieval_token_lists(pa.array(["x", *lower], pa.string())[1:]).to_pylist() == want and T.retrieval_token_lists(pa.array([], pa.string())).to_pylist() == []
