@@ -329,6 +329,19 @@ def test_lexical_negatives_make_no_row_of_every_pair(spark, tmp_path):
     assert made[0] <= 20 * 30 * 4
 
 
+def test_hard_negatives_seek_statute_neighbours_of_the_asked_only(spark, tmp_path, monkeypatch):
+    from lodestar.plans import catalog
+
+    rows = [(k, f"o{k:02}", "gift rule city board", f"gift rule Section {81000 + k % 3} {k % 7}", "train") for k in range(60)]
+    spark.createDataFrame(rows, "pair_id long, opinion_id string, question string, pos_full_text string, split_name string").coalesce(1).write.parquet(f"{tmp_path}/pairs.parquet")
+    spark.createDataFrame([], "opinion_id string").write.parquet(f"{tmp_path}/heldout_pairs.parquet")
+    asked, neighbours = [], citations.statute_neighbours
+    monkeypatch.setattr(citations, "statute_neighbours", lambda positives, *rest: asked.append(sorted(r[0] for r in positives.select("doc_id").distinct().collect())) or neighbours(positives, *rest))
+    got = [tuple(r) for r in catalog.merged_negatives(spark, str(tmp_path)).filter("n_shared IS NOT NULL").select("doc_id", "neg_id", "n_shared").orderBy("doc_id", "neg_id").collect()]
+    want = catalog.statute(spark, str(tmp_path)).filter("doc_id IN ('o00', 'o20', 'o40')").select("doc_id", "neg_id", "n_shared").orderBy("doc_id", "neg_id").collect()
+    assert got == [tuple(r) for r in want] and len(got) == 15 and asked[0] == ["o00", "o20", "o40"]
+
+
 def test_token_lists_are_the_retrieval_tokens(spark):
     import pyarrow as pa
 
