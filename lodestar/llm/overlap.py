@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fold_word, join_members, keep, shuffle_width, small, words
+from lodestar.llm.common import fold_word, join_members, keep, shuffle_width, small, stored, words
 from lodestar.llm.scan import page_breaks
 
 SHARD_PASSAGES = 100_000  # passages of one automaton
@@ -215,8 +215,9 @@ def question_links(eval_q: DataFrame, train_q: DataFrame, share: float, spare: i
     spark = eval_q.sparkSession
     size = max(1, min(PASSAGE, least // (n_changed(least, share) + 1)))
     asked = small(eval_q.select(F.explode(grams("q", size)).alias("g")).distinct())
-    hits = keep(train_q.select(F.xxhash64("q").alias("th"), F.explode(F.array_distinct(grams("q", size))).alias("g")).join(asked, "g", "left_semi"))
-    sought = keep(anchored_passages(eval_q, hits, share, spare, size))
+    # stored, not kept: a plan holds the whole plan of all that is kept in it, at every place anew, and the driver all plans of a query
+    hits = stored(train_q.select(F.xxhash64("q").alias("th"), F.explode(F.array_distinct(grams("q", size))).alias("g")).join(asked, "g", "left_semi"))
+    sought = stored(anchored_passages(eval_q, hits, share, spare, size))
     anchors = keep(sought.groupBy("g").agg(F.max("n").alias("n"), F.count("*").alias("m")))
     total = anchors.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     shards = max(total["n"] // GROUP_TEXTS, total["m"] // SHARD_PASSAGES, min(shuffle_width(spark), total["n"] // 500)) + 1
@@ -296,7 +297,7 @@ def split_overlaps(pairs: DataFrame, negatives: DataFrame | None, share: float =
     e_q, e_rows = distinct_questions(p.filter(F.col("split").isin("val", "test")), "pair_id", "question", least)
     t_q, t_rows = distinct_questions(p.filter(F.col("split") == "train"), "pair_id", "question", least)
     asked = question_links(keep(e_q), keep(t_q), share, spare, least).select("e", "t", F.lit("question").alias("reason"), "coverage")
-    links = keep(asked.unionByName(t_n.select("c", "reason").distinct().select(F.col("c").alias("e"), F.col("c").alias("t"), "reason", F.lit(1.0).alias("coverage"))))
+    links = stored(asked.unionByName(t_n.select("c", "reason").distinct().select(F.col("c").alias("e"), F.col("c").alias("t"), "reason", F.lit(1.0).alias("coverage"))))
     eval_members = e_n.select("id", F.col("c").alias("e")).unionByName(e_rows.select("id", F.md5("q").alias("e")).distinct())
     train_members = t_n.select("id", F.col("c").alias("t"), "reason").unionByName(t_rows.select("id", F.md5("q").alias("t"), F.lit("question").alias("reason")).distinct())
     return links, eval_members, train_members

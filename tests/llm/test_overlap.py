@@ -122,6 +122,18 @@ def test_work_grows_with_the_data(spark, monkeypatch):
     assert sent[1][1] > 3 * sent[0][1] > 30 and sent[1][0] < 6 * sent[0][0]
 
 
+def test_plans_hold_no_plan_many_times(spark):
+    """The driver keeps the plans of a query; with those of all that was made before, at every place, they outgrow its memory."""
+    qs = [f"may member {i} of the council of city {i * 7} accept gift {i * 13} from a client" for i in range(4)]
+    pairs = spark.createDataFrame([(i, f"90A{i}", qs[i % 4], "test" if i < 4 else "train") for i in range(12)], "pair_id long, opinion_id string, question string, split_name string")
+    neg = spark.createDataFrame([(100, "90-a-1")], "neg_id long, opinion_id string")
+    e, t = (pairs.filter(pairs.split_name == x).select(F.col("question").alias("q")).distinct() for x in ("test", "train"))
+    parts = split_overlaps(pairs, neg)
+    for df, rows, most in ((overlap.question_links(e, t, 0.125, 1, 8), 4, 10), (expanded(*parts), 9, 20), (coverage_report(*parts), 4, 20)):
+        assert df.count() == rows
+        assert df._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") <= most
+
+
 def test_hot_opinion(spark, monkeypatch):
     monkeypatch.setattr(common, "SMALL", 0)
     monkeypatch.setattr(common, "HOT", 10)
